@@ -134,7 +134,7 @@ class Pieces(dict):
         return self.crossing(text) is not None
 
     def encode(self, text: str, into: list[int]) -> None:
-        if self.crosses(text):
+        if not text or self.crosses(text):
             into += self.ids(text)
             return
         first, *rest = text.split(" ")
