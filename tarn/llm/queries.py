@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tarn.llm import bpe, neighbours, splitting
+from tarn.llm import bpe, leakage, neighbours, spam, splitting
 from tarn.session import table
 
 
@@ -35,7 +35,27 @@ def p6_ids(spark, d):
     return bpe.document_ids(table(spark, d, "documents"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_neighbours": p4_neighbours, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_ids": p6_ids}
+def p7_found(spark, d):
+    """The documents in which at least half of an evaluation passage stands, with the passage."""
+    return leakage.leaked(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p7_clean(spark, d):
+    """The documents without those in which a passage leaked."""
+    return leakage.without_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p8_found(spark, d):
+    """The documents most of whose words are keywords, tags or links."""
+    return spam.spam_pages(table(spark, d, "documents"))
+
+
+def p8_shares(spark, d):
+    """The share of words outside prose and records of every document."""
+    return spam.page_shares(table(spark, d, "documents"))
+
+
+QUERIES = {"p4_found": p4_found, "p4_neighbours": p4_neighbours, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_ids": p6_ids, "p7_found": p7_found, "p7_clean": p7_clean, "p8_found": p8_found, "p8_shares": p8_shares}
 
 ORACLES = {
     "p5_found": r"""
