@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
-from tarn.llm import bpe, leakage, neighbours, spam, splitting
+from tarn.llm import bpe, leakage, neighbours, pii, spam, splitting
 from tarn.session import table
 
 
+def p3_found(spark, d):
+    """Each personal item in the questions and node texts."""
+    return pii.found(table(spark, d, "golden_set"), table(spark, d, "corpus_docs"))
+
+
+def p3_masked(spark, d):
+    """The questions and node texts with each personal item replaced by a placeholder of its kind."""
+    return pii.masked(pii.records(table(spark, d, "golden_set"), table(spark, d, "corpus_docs")), "text")
+
+
 def p4_found(spark, d):
     """Pairs of cosine 0.80 or more of which one is among the five most similar vectors of the other."""
     return neighbours.similar_pairs(table(spark, d, "chunk_vectors"))
@@ -55,7 +65,7 @@ def p8_shares(spark, d):
     return spam.page_shares(table(spark, d, "documents"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_neighbours": p4_neighbours, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_ids": p6_ids, "p7_found": p7_found, "p7_clean": p7_clean, "p8_found": p8_found, "p8_shares": p8_shares}
+QUERIES = {"p3_found": p3_found, "p3_masked": p3_masked, "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_ids": p6_ids, "p7_found": p7_found, "p7_clean": p7_clean, "p8_found": p8_found, "p8_shares": p8_shares}
 
 ORACLES = {
     "p5_found": r"""
