@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tarn.session import ship_package
 
@@ -484,7 +485,7 @@ def common_words(texts: DataFrame, text: str = "text") -> frozenset:
     return frozenset(r[0] for r in found.select("w").toLocalIterator())
 
 
-_SPANS = "array<struct<kind:string,char_start:int,char_end:int>>"
+SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("char_start", T.IntegerType()), T.StructField("char_end", T.IntegerType())]))
 
 
 def with_spans(df: DataFrame, text: str, *, out: str = "pii") -> DataFrame:
@@ -510,13 +511,7 @@ def with_spans(df: DataFrame, text: str, *, out: str = "pii") -> DataFrame:
                 spans = [[{"kind": k, "char_start": a, "char_end": b} for a, b, k in x] for x in found]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(spans, kinds)], names=[*part.schema.names, out])
 
-    return df.mapInArrow(run, df.schema.add(out, _SPANS_TYPE()))
-
-
-def _SPANS_TYPE():
-    from pyspark.sql import types as T
-
-    return T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("char_start", T.IntegerType()), T.StructField("char_end", T.IntegerType())]))
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, SPANS)]))
 
 
 def masked(df: DataFrame, text: str, *, out: str = "masked") -> DataFrame:
