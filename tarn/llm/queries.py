@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
-from tarn.llm import bpe, leakage, neighbours, pii, spam, splitting
+from tarn.llm import boilerplate, bpe, leakage, neighbours, pii, spam, splitting
 from tarn.session import table
 
 
+def p2_found(spark, d):
+    """The nodes that are not main body."""
+    return boilerplate.boilerplate_nodes(table(spark, d, "page_nodes"), table(spark, d, "fetch_log"))
+
+
+def p2_main(spark, d):
+    """The main body of every page."""
+    return boilerplate.main_body(table(spark, d, "page_nodes"), table(spark, d, "fetch_log"))
+
+
 def p3_found(spark, d):
     """Each personal item in the questions and node texts."""
     return pii.found(table(spark, d, "golden_set"), table(spark, d, "corpus_docs"))
@@ -65,7 +75,7 @@ def p8_shares(spark, d):
     return spam.page_shares(table(spark, d, "documents"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_masked": p3_masked, "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_ids": p6_ids, "p7_found": p7_found, "p7_clean": p7_clean, "p8_found": p8_found, "p8_shares": p8_shares}
+QUERIES = {"p2_found": p2_found, "p2_main": p2_main, "p3_found": p3_found, "p3_masked": p3_masked, "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_ids": p6_ids, "p7_found": p7_found, "p7_clean": p7_clean, "p8_found": p8_found, "p8_shares": p8_shares}
 
 ORACLES = {
     "p5_found": r"""
