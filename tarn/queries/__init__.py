@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("wide",)
+MODULES = ("wide", "texts")
 
 
 def load() -> tuple[dict, dict]:

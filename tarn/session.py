@@ -69,3 +69,17 @@ def ship_package(spark: SparkSession) -> None:
                     bundle.write(path, os.path.join("tarn", os.path.relpath(path, root)))
     context.addPyFile(target)
     context._tarn_shipped = True
+
+
+def hash_sample(df: DataFrame, *keys: str, rows: int) -> DataFrame:
+    """About `rows` rows of df (never more), chosen by the hash of their keys, the same on every run.
+
+    Rows are kept by a threshold on the hash, so no task sends more than its share to anyone.
+    """
+    from pyspark.sql import functions as F
+
+    total = df.count()
+    if total <= rows:
+        return df
+    share = rows / total
+    return df.where(F.pmod(F.xxhash64(*keys), F.lit(1_000_003)) < int(share * 1_000_003)).limit(rows)
