@@ -17,13 +17,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.session import ship_package
+from tarn.session import hash_sample, ship_package
 
 STATES = ("prose", "record", "link list", "tag list", "menu")
 #: Words of a segment at most, and tokens back to which a repeated pair of words is looked for.
 SEGMENT, REPEAT_WITHIN = 16, 48
-#: Documents (by hash order of their ids) whose segments the model is fitted on, and characters taken of each for that.
-SAMPLE_DOCS = 3_000
+#: Documents (by the hash of their ids) whose segments the model is fitted on at most, and characters taken of each for that.
+SAMPLE_DOCS, SAMPLE_CHARS = 2_000, 10_000
 #: Share of words outside prose and records beyond which a page is flagged.
 FLAG_SHARE = 0.5
 #: Word forms a worker remembers.
@@ -242,11 +242,11 @@ def page_shares(documents: DataFrame, *, ident: str = "doc_id", text: str = "tex
     """(doc_id, words, nonprose_share) of every document.
 
     Null, empty and blank texts have share 0. Whole texts are read, however long. Rows with a null id stay, repeated
-    rows give repeated rows; extra columns are not read. The sample is the first SAMPLE_DOCS texts by hash of the id.
+    rows give repeated rows; extra columns are not read. The model is fitted on at most SAMPLE_DOCS texts, chosen by hash of the id.
     """
     ship_package(documents.sparkSession)
     rows = documents.select(F.col(ident).alias("_id"), F.col(text).alias("_text"))
-    sample = [r[0] for r in rows.where("_text is not null").withColumn("_h", F.xxhash64("_id", F.length("_text"))).orderBy("_h").limit(SAMPLE_DOCS).select(F.substring("_text", 1, 20_000)).collect()]
+    sample = [r[0] for r in hash_sample(rows.where("_text is not null"), "_id", rows=SAMPLE_DOCS).select(F.substring("_text", 1, SAMPLE_CHARS)).collect()]
     model = documents.sparkSession.sparkContext.broadcast(fit(sample or [""]))
 
     def run(batches, model=model):
