@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("wide", "texts")
+MODULES = ("wide", "texts", "search")
 
 
 def load() -> tuple[dict, dict]:
