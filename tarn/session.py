@@ -71,6 +71,13 @@ def ship_package(spark: SparkSession) -> None:
     context._tarn_shipped = True
 
 
+def filled(df: DataFrame) -> DataFrame:
+    """df kept in memory and on disk, computed once before several readers start; lost parts are computed anew."""
+    kept = df.persist()
+    kept.count()
+    return kept
+
+
 def hash_sample(df: DataFrame, *keys: str, rows: int) -> DataFrame:
     """About `rows` rows of df (never more), chosen by the hash of their keys, the same on every run.
 
