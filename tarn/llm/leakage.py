@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.session import ship_package
+from tarn.session import filled, ship_package
 
 #: Words of a window.
 GRAM = 5
@@ -182,7 +182,7 @@ def leaked(documents: DataFrame, items: DataFrame) -> DataFrame:
     least OWN of the words must be copied. Null and empty texts and passages, and passages shorter than a window,
     give no row; repeated rows count once. Whole texts are read; extra columns are not.
     """
-    pairs = copied_shares(documents, items).persist()
+    pairs = filled(copied_shares(documents, items))
     alone = pairs.where(F.col("copied") < ALONE).select("doc_id", "item_id", F.explode("sentences").alias("s")).groupBy("item_id", "s").agg(F.count("*").alias("n")).where(F.col("n") >= SHARED_DOCS)
     common = alone.groupBy("item_id").agg(F.collect_set("s").alias("common"))
     cases = pairs.where(F.col("copied") >= COPIED).join(common, "item_id", "left")
