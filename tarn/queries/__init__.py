@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("wide", "texts", "search", "pages")
+MODULES = ("wide", "texts", "search", "pages", "rest")
 
 
 def load() -> tuple[dict, dict]:
