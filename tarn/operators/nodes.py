@@ -55,7 +55,9 @@ def quality(nodes: DataFrame, least_mean: float = 80.0) -> DataFrame:
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 DROPPED = frozenset("script style noscript template nav footer aside form iframe svg header".split())
 BLOCKS = {"p": "paragraph", "li": "list_item", "blockquote": "quote", "tr": "table_row", **{f"h{i}": "heading" for i in range(1, 7)}}
-_IMPLIED_END = {"p": {"p"}, "li": {"li"}, "tr": {"tr"}, "td": {"td", "th"}, "th": {"td", "th"}}
+_IMPLIED_END = {"li": ("li",), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th")}
+#: Tags that end an open paragraph.
+_ENDS_P = frozenset([*BLOCKS, "ul", "ol", "table", "div", "section", "article", "hr", "pre", "dl", *DROPPED]) - {"tr", "script", "style", "svg"}
 
 
 class _Nodes(HTMLParser):
@@ -76,6 +78,8 @@ class _Nodes(HTMLParser):
             if tag == "br" and self.open:
                 self.open[-1]["parts"].append(" ")
             return
+        if tag in _ENDS_P and "p" in self.stack:
+            self._close("p")
         for old in _IMPLIED_END.get(tag, ()):
             if old in self.stack and not {"ul", "ol", "table"} & set(self.stack[len(self.stack) - self.stack[::-1].index(old) :]):
                 self._close(old)
