@@ -27,8 +27,8 @@ RUN = 8
 GAP, SHIFT = 7, 3
 #: Share of a passage's words that must be copied, and share that must be copied beyond sentences many documents share.
 COPIED, OWN = 0.5, 0.25
-#: A sentence of a passage is shared if so many documents have it without the passage (less than ALONE of its words).
-SHARED_DOCS, ALONE = 20, 0.3
+#: A sentence of a passage is shared if so many documents have it without the rest (less than ALONE of the words beside it).
+SHARED_DOCS, ALONE = 20, 0.2
 #: Windows the broadcast set may hold.
 SET_LIMIT = 5_000_000
 
@@ -183,7 +183,9 @@ def leaked(documents: DataFrame, items: DataFrame) -> DataFrame:
     give no row; repeated rows count once. Whole texts are read; extra columns are not.
     """
     pairs = filled(copied_shares(documents, items))
-    alone = pairs.where(F.col("copied") < ALONE).select("doc_id", "item_id", F.explode("sentences").alias("s")).groupBy("item_id", "s").agg(F.count("*").alias("n")).where(F.col("n") >= SHARED_DOCS)
+    each = pairs.select("item_id", "copied", "item_words", F.explode(F.arrays_zip("sentences", "sentence_words")).alias("s"))
+    rest = F.col("copied") - F.col("s.sentence_words") / F.col("item_words")
+    alone = each.where(rest < ALONE).groupBy("item_id", F.col("s.sentences").alias("s")).agg(F.count("*").alias("n")).where(F.col("n") >= SHARED_DOCS)
     common = alone.groupBy("item_id").agg(F.collect_set("s").alias("common"))
     cases = pairs.where(F.col("copied") >= COPIED).join(common, "item_id", "left")
     borrowed = F.aggregate(F.zip_with("sentences", "sentence_words", lambda s, n: F.when(F.array_contains("common", s), n).otherwise(0)), F.lit(0), lambda a, b: a + b)
