@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("wide", "texts", "search", "pages", "rest")
+MODULES = ("wide", "texts", "search", "pages", "rest", "more")
 
 
 def load() -> tuple[dict, dict]:
