@@ -103,6 +103,7 @@ def numbers(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"[0-9][0-9,]*(?:\.[0-9]+)?"), F.lit(0)), lambda x: F.replace(x, F.lit(","), F.lit("")))))
 
 
+# Abbreviations whose full stop ends no sentence.
 _ABBREVIATIONS = r"(?i)\b(mr|mrs|ms|dr|vs|etc|no|fig|approx|incl|excl|min|max|rs|inr|cr|asst|mgr|co|ltd|inc|avg)\."
 
 
@@ -134,6 +135,7 @@ def quote(text: Column) -> Column:
     return F.when(body == "", F.lit("")).otherwise(F.when(large.rlike("[.!?]$"), large).otherwise(F.concat(large, F.lit("."))))
 
 
+# Fixed value: the form of a line that states a label and its value.
 _ROW = r"^(.{2,60}?)\s*[:\-]\s+(.{1,400})$"
 
 

@@ -44,11 +44,11 @@ def test_small_forms(spark):
     assert one(spark, "abc", X.mask) == "***" and one(spark, "abcdef", X.mask) == "ab****"
     assert one(spark, "exit load exit load of 1%", X.collapse_repeats) == "exit load of 1%"
     assert one(spark, "NAV: 10.5", X.label_half) == "NAV" and one(spark, "NAV: 10.5", X.value_half) == "10.5"
-    assert one(spark, "!!", X.slug) == "unknown" and one(spark, "HDFC-Like Fund", X.slug) == "hdfc_like_fund"
+    assert one(spark, "!!", X.slug) == "unknown" and one(spark, "Oak-Like Fund", X.slug) == "oak_like_fund"
     assert one(spark, "₹1,13,606.47 of 5", X.numbers) == ["113606.47", "5"]
 
 
-PROBES = [("mail me at a.b@c.co", "email"), ("PAN ABCDE1234F", "pan"), ("call 9876543210", "phone"), ("aadhaar 2345 6789 0123", "aadhaar"), ("account number is 1234567890123456", "account_no"), ("otp is 482913", "otp"), ("IFSC HDFC0001234", "ifsc"), ("dp id 12345678", "demat"), ("code 4829", "possible_otp")]
+PROBES = [("mail me at a.b@c.co", "email"), ("PAN ABCDE1234F", "pan"), ("call 9876543210", "phone"), ("aadhaar 2345 6789 0123", "aadhaar"), ("account number is 1234567890123456", "account_no"), ("otp is 482913", "otp"), ("IFSC OAKB0001234", "ifsc"), ("dp id 12345678", "demat"), ("code 4829", "possible_otp")]
 
 
 def test_scan_is_aware_of_overlaps(spark):
