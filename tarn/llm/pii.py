@@ -77,10 +77,11 @@ def proposals(text: str) -> list[tuple[int, int, str]]:
 
 _SYLLABLES = "ba be bo da de du fa fi ga go ha hi ja jo ka ke ki la le lo ma me mu na ni no pa pe ra re ro sa se so ta te to va vi ya yo za".split()
 _TAILS = "rov lin mand dell var nath kars tian gupt shek wen dose barg hill mont".split()
+# Invented carriers of the training texts; {} stands for the item.
 _HEADS_TO_NAME = ["Regards, {}.", "Yours, {}", "Thanks, {}.", "Please speak to {} about this:", "Please call {} about it.", "I am {}, ", "My name is {} and ", "This is {}.", "This is {} from the office, ", "I hold units jointly with {};", "I hold units jointly with {}.", "my wife {} wants to know:", "my husband {} wants to know:", "my father {} asked.", "Mr. {} asked me this:", "Mrs. {} asked me this:", "Ms {} called.", "Dr {} signed the form, but ", "Dr. {} signed it.", "Shri {} came.", "Nominee: {}.", "Nominee: {};", "{} here.", "{} asked me this:", "{} wants to know:", "Holder: {},", "Signed by {} on Monday.", "- {}"]
 _NUMBER = {
     "phone": ["Call me on {}.", "WhatsApp {}:", "Ph: {} /", "Phone {};", "OTP did not come to {}.", "my number is {},", "reach me at {} after work,", "Mobile no. {}.", "contact {} please.", "({})", "{} is my number."],
-    "id_number": ["PAN:{};", "My PAN is {},", "pan {} not verified -", "Permanent account no. {}.", "Aadhaar {} is linked.", "aadhar number {};", "UID no. {},", "Passport {} expired.", "passport no {};", "driving licence: {};", "licence {}.", "identity number: {};", "KYC id {} was rejected.", "the papers of {} are with you.", "({})", "my id is {}."],
+    "id_number": ["PAN:{};", "My PAN is {},", "pan {} not verified -", "Permanent account no. {}.", "Aadhaar {} is linked.", "aadhar number {};", "UID no. {},", "Passport {} expired.", "passport no {};", "driving licence: {};", "licence {}.", "identity number: {};", "KYC id {} was rejected.", "the papers of {} are with you.", "({})", "my id is {}.", "I gave {} as proof,", "I gave {}", "DL No {},", "id proof {} is attached."],
     "email": ["Write to {}.", "Send the statement to {} please.", "Registered id {};", "reply: {} -", "my email is {},", "e-mail {}.", "({})", "mail me at {} today.", "{} is my mail."],
     "address": ["I live at {}.", "Send the cheque to {}.", "Courier it to {}.", "moved from {} last year;", "address changed to {},", "My address: {}.", "visit {} please.", "Deliver to {}."],
 }
@@ -90,8 +91,8 @@ Ask the Grievance Cell at {h}. | {t} branch, counter {n}. | The app is on v{n}.{
 The {c} note by {h} is old. | Ticket {a3}-{a3}-{n} is open. | Window {n}:30-{n}:30 is too short. | ISIN INX{n}K{d5}. | Batch {y}-{n}-{a4} of {n} May {y} failed. | My portfolio is worth ₹{lakh}. | Read @{h} handle notes.
 I hold {lakh} units. | {h} Asset Management wrote on {n} April {y}. | Step {n} of {a3} hangs at {p}%. | Cut-off is {n}:15 am. | NAV ₹{a3}.{n}{n} on {n} June {y}. | Hello team. | Hi, | Namaste, | Dear sir, | pls help!
 SIP ka paisa {n} din mein units de deta hai kya? | Meri wife ka account nominee free mein add karta hai kya? | Yeh scheme {p}% ka exit load leti hai kya? | Registrar ka office statement email pe bhej deta hai kya?
-The {w} revises the older cost sheet sent to {t} before the audit. | The {w} quotes the value per unit at ₹{a3}.{a4} for holders in {t}. | A {w} checks the printed switch form over {a3} pages at {n}:45 pm. | Order no. {d5}{d5}{n} was booked.
-A first-time saver tests the nominee register dated {n} March {y} behind {i}. | {h} Asset Management merges the dealing log above Rs. {a} | Folio {d5}{a4}/{n} is old. | Reference {d5}{d5} is noted. | Toll {y} | Until {y}, the {w} waits.
+The {w} revises the older cost sheet sent to {t} before the audit. | The {w} quotes the value per unit at ₹{a3}.{a4} for holders in {t}. | A {w} checks the printed switch form over {a3} pages at {n}:45 pm. | Order no. {d5}{a3} was booked.
+A first-time saver tests the nominee register dated {n} March {y} behind {i}. | {h} Asset Management merges the dealing log above Rs. {a} | Folio {d5}{a4}/{n} is old. | Reference {d5}{a3} is noted. | Toll {y} | Until {y}, the {w} waits.
 While the {w} is in {t}, a joint holder agrees. | {t}, {t} and {t} have branches. | {f}: {p}% | Fund size: {lakh} crore | Benchmark: {i} | In the name of the first holder, {n} forms | {h} House is closed. | Write to the Grievance Cell. | This is a scheme of {h}. | Riskometer: Very High | Risk level: MODERATELY HIGH | RISK GRADE: LOW TO MODERATE
 Risk level :: VERY HIGH | Benchmark: PALASH SMALL CAP 250 TRI | ## Gilt | ## ELSS | Fund manager: not disclosed | NIL | LOCK IN PERIOD: NIL | coming soon | Star rating: {n} stars | ISIN: INX{n}K{d5}""".replace("\n", " | ").split(" | ")
 
@@ -122,14 +123,14 @@ def invented(count: int, seed: int = 7) -> list[tuple[str, list[tuple[int, int,
     def phone() -> str:
         lead = r.choice("6789")
         body = r.choice((lead + d(9), lead + d(4) + " " + d(5), lead + d(2) + "-" + d(3) + "-" + d(4), lead + d(3) + "." + d(3) + "." + d(3), " ".join((lead + d(1), d(2), d(2), d(2), d(2))), f"(0{d(2)}) {d(4)} {d(4)}"))
-        lead_in = "" if body[0] == "(" else r.choice(("", "", "0", "+91 ", "+91-", "91 "))
+        lead_in = "" if body[0] == "(" else r.choice(("", "0", "0", "+91 ", "+91-", "91 "))
         if lead_in == "0" and len(body) != 10:
             lead_in = ""
         return r.choice((lead_in + body, lead_in + body, f"+91 ({lead}{d(3)}) {d(3)}-{d(3)}"))
 
     def id_number() -> str:
         letters = lambda n: "".join(r.choice("ABCDEFGHJKLMNPQRSTUVWXYZ") for _ in range(n))
-        gap = r.choice(("", " ", "-", "."))
+        gap = r.choice(("", "", "", " ", "-", "."))
         x = r.choice((letters(5) + d(4) + letters(1), f"{letters(5)} {d(4)} {letters(1)}", gap.join((d(4), d(4), d(4))), letters(1) + d(7), f"{letters(1)} {d(7)}", f"{letters(2)}{d(2)} {d(11)}", f"{letters(2)}{d(2)}-{d(11)}", letters(2) + d(13)))
         return x.lower() if r.random() < 0.1 else x
 
@@ -155,6 +156,8 @@ def invented(count: int, seed: int = 7) -> list[tuple[str, list[tuple[int, int,
     texts = []
     for _ in range(count):
         text, spans, known = "", [], []
+        if r.random() < 0.25:
+            text = r.choice(("Hi, ", "Namaste, ", "Dear sir, ", "Hello team. ", "pls help! "))
         for _ in range(r.randint(1, 5)):
             x = r.random()
             if x < 0.5:
