@@ -27,8 +27,10 @@ SAMPLE_ROWS = 4_096
 RADIUS = 44
 #: Vectors one task holds; fuller groups are split into blocks.
 GROUP_ROWS = 65_536
-#: Entries of one substring bucket beyond which its members get codes of their own.
+#: Entries of one substring bucket beyond which its members are compared with all in reach, block by block.
 CROWDED = 2_048
+#: Similarities one such block holds.
+MATRIX = 4_000_000
 #: Up to so many vectors in substrings of 16 bits, beyond it 21 bits; two bits are probed.
 SHORT_UP_TO = 2_000_000
 #: Unit components as 16-bit fixed point.
@@ -111,56 +113,60 @@ class Search:
         keep = np.arange(len(i)) - first < self.k
         return i[keep], j[keep], s[keep]
 
-    def all_pairs(self, members: np.ndarray, allowed=None) -> None:
-        """The best partners within a set of vectors that no code tells apart, in blocks of rows against the set."""
-        for at in range(0, len(members), 512):
-            rows = members[at : at + 512]
-            sim = self.x[rows] @ self.x[members].T
-            sim[np.arange(len(rows)), np.arange(at, at + len(rows))] = -2
-            if allowed is not None:
-                sim[~allowed(rows[:, None], members[None, :])] = -2
-            top = np.argpartition(-sim, min(self.k, sim.shape[1] - 1), 1)[:, : self.k]
-            best = np.take_along_axis(sim, top, 1)
-            a, b = np.nonzero(best >= self.least)
-            self.add(rows[a], members[top[a, b]], best[a, b])
-
-    def crowd(self, members: np.ndarray, depth: int, allowed=None) -> None:
-        """A crowded bucket: its members get codes from a rotation fitted to them, and the search starts anew among them."""
-        if depth >= 3 or len(members) <= CROWDED:
-            self.all_pairs(members, allowed)
+    def among(self, rows: np.ndarray, columns: np.ndarray, block: np.ndarray | None = None) -> None:
+        """The best partners of `rows` among `columns`, all compared in blocks; with `block`, only those of another block."""
+        if block is not None:
+            for own in np.unique(block[rows]):
+                self.among(rows[block[rows] == own], columns[block[columns] != own])
             return
-        sample = members[np.linspace(0, len(members) - 1, min(SAMPLE_ROWS, len(members))).astype(np.int64)]
-        mean, turn = fit_rotation(self.x[sample], 10)
-        bits = (self.x[members] - mean) @ turn > 0
-        width = 16
-        keys = substrings(bits, width, DIMENSION // width)
-        words = np.packbits(bits, axis=1).view(np.uint64)
-        for t in range(keys.shape[1]):
-            self.probe(members, keys, words, t, width, 1, depth + 1, None, allowed, None)
-
-    def probe(self, members, keys, words, t, width, probe, depth, home, allowed, radius) -> None:
-        """All pairs whose substrings t differ in at most `probe` bits and that no earlier table retrieves."""
+        if not len(rows) or not len(columns):
+            return
+        columns = np.sort(columns)
+        others = np.ascontiguousarray(self.x[columns].T)
+        step = min(512, max(1, MATRIX // len(columns)))
+        for at in range(0, len(rows), step):
+            part = rows[at : at + step]
+            sim = self.x[part] @ others
+            place = np.minimum(np.searchsorted(columns, part), len(columns) - 1)
+            itself = columns[place] == part
+            sim[itself, place[itself]] = -2
+            edge = np.partition(sim, -self.k, 1)[:, -self.k] if len(columns) > self.k else np.full(len(part), -2, sim.dtype)
+            a, b = np.nonzero((sim >= np.maximum(edge, self.least)[:, None]) & (sim > -2))
+            self.compare(part[a], columns[b])  # a product's last digits vary with its shape; a pair has one similarity
+
+    def crowd(self, rows: np.ndarray, columns: np.ndarray, home: np.ndarray, block: np.ndarray | None) -> None:
+        """`rows` against `columns` without pairs of which neither is at home in the group."""
+        self.among(rows[home[rows]], columns, block)
+        self.among(rows[~home[rows]], columns[home[columns]], block)
+
+    def probe(self, keys, words, t, width, probe, home, block) -> None:
+        """All pairs whose substrings t differ in at most `probe` bits and that no earlier table retrieves.
+
+        The members of a crowded bucket are compared with all that the probes reach, by matrix and not pair by pair,
+        so a crowded bucket retrieves what any other does.
+        """
         order = np.argsort(keys[:, t], kind="stable")
         sorted_keys = keys[order, t]
-        crowded = np.zeros(len(order), bool)
         left = np.searchsorted(sorted_keys, sorted_keys, "left")
         right = np.searchsorted(sorted_keys, sorted_keys, "right")
-        if len(order) and (right - left).max() > CROWDED:
-            for start in np.unique(left[right - left > CROWDED]):
-                inside = order[start : right[start]]
-                crowded[start : right[start]] = True
-                if home is None or home[inside].any():
-                    self.crowd(members[inside], depth, allowed)
-        for mask in masks(width, probe):
+        crowded = right - left > CROWDED
+        reach = np.array(masks(width, probe))
+        for start in np.unique(left[crowded]):
+            inside = order[start : right[start]]
+            lo, hi = (np.searchsorted(sorted_keys, sorted_keys[start] ^ reach, side) for side in ("left", "right"))
+            near = np.concatenate([np.arange(a, b) for a, b in zip(lo, hi)])
+            self.crowd(inside, order[near], home, block)
+            self.crowd(order[near[~crowded[near]]], inside, home, block)
+        for mask in reach.tolist():
             if mask == 0:
                 lo, hi = np.arange(len(order)) + 1, right
-                lo, hi = np.where(crowded, 0, lo), np.where(crowded, 0, hi)
             else:
                 want = sorted_keys ^ mask
                 lo, hi = np.searchsorted(sorted_keys, want, "left"), np.searchsorted(sorted_keys, want, "right")
-                lo, hi = np.where(want > sorted_keys, lo, 0), np.where(want > sorted_keys, hi, 0)
-            many = hi - lo
+                hi = np.where(want > sorted_keys, hi, lo)
+            many = np.where(crowded, 0, hi - lo)
             todo = np.flatnonzero(many > 0)
+            todo = todo[~crowded[lo[todo]]]
             sums = np.cumsum(many[todo])
             begin = 0
             while begin < len(todo):
@@ -169,24 +175,21 @@ class Search:
                 n = many[rows]
                 a = np.repeat(rows, n)
                 b = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo[rows], n)
-                self._retrieved(members, keys, words, order[a], order[b], t, probe, home, allowed, radius)
+                self._retrieved(keys, words, order[a], order[b], t, probe, home, block)
                 begin = stop
 
-    def _retrieved(self, members, keys, words, a, b, t, probe, home, allowed, radius) -> None:
-        keep = np.ones(len(a), bool)
-        if home is not None:
-            keep &= home[a] | home[b]
-        if allowed is not None:
-            keep &= allowed(members[a], members[b])
-        if radius is not None:
-            keep &= differing(words[a] ^ words[b]) <= radius
+    def _retrieved(self, keys, words, a, b, t, probe, home, block) -> None:
+        keep = home[a] | home[b]
+        if block is not None:
+            keep &= block[a] != block[b]
+        keep &= differing(words[a] ^ words[b]) <= RADIUS
         a, b = a[keep], b[keep]
         for earlier in range(t):
             if not len(a):
                 return
             fresh = differing((keys[a, earlier] ^ keys[b, earlier]).astype(np.uint64).reshape(-1, 1)) > probe
             a, b = a[fresh], b[fresh]
-        self.compare(members[a], members[b])
+        self.compare(a, b)
 
 
 def _unit(batch_column: pa.Array) -> np.ndarray:
@@ -239,9 +242,8 @@ def _search_group(rows: pa.Table, width: int, probe: int, least: float, k: int)
     home = rows.column("home").to_numpy(zero_copy_only=False)[order].astype(bool)
     block = rows.column("block").to_numpy()[order]
     t, low, high = (rows.column(c)[0].as_py() for c in ("t", "low", "high"))
-    allowed = None if low == high else (lambda a, b: block[a] != block[b])
     search = Search(x, least, k)
-    search.probe(np.arange(len(ids)), substrings(bits, width, DIMENSION // width), words, t, width, probe, 0, home, allowed, RADIUS)
+    search.probe(substrings(bits, width, DIMENSION // width), words, t, width, probe, home, None if low == high else block)
     i, j, s = search.best()
     cuts = np.flatnonzero(np.r_[True, i[1:] != i[:-1]]) if len(i) else np.empty(0, np.int64)
     near = pa.ListArray.from_arrays(pa.array(np.r_[cuts, len(i)] if len(i) else [0], pa.int32()), pa.StructArray.from_arrays([pa.array(s, pa.float32()), pa.array(ids[j], pa.int64())], ["s", "b"]))

@@ -1,5 +1,7 @@
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tarn.llm import neighbours as N
 
@@ -65,3 +67,27 @@ def test_few_vectors(spark):
     assert N.similar_pairs(empty).count() == 0
     assert N.similar_pairs(frame(spark, clusters(1, 1))).count() == 0
     assert N.similar_pairs(frame(spark, clusters(1, 2, spread=0.1))).count() == 1
+
+
+def big_frame(spark, x):
+    vectors = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, 128), pa.int32()), pa.array(x.astype(np.float32).ravel()))
+    return spark.createDataFrame(pa.table({"vec_id": pa.array(np.arange(len(x))), "vector": vectors})).repartition(4)
+
+
+def recall(found, x, queries, k=5):
+    """Share of the true k nearest of `queries` that came out."""
+    got = {}
+    for r in found.where(F.col("vec_id").isin([int(q) for q in queries])).collect():
+        got.setdefault(r.vec_id, set()).add(r.neighbour)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u[queries] @ u.T
+    s[np.arange(len(queries)), queries] = -2
+    return np.mean([len(got.get(int(q), set()) & set(np.argsort(-s[n])[:k].tolist())) / k for n, q in enumerate(queries)])
+
+
+def test_hot_cluster(spark):
+    r = np.random.default_rng(7)
+    spread = r.uniform(0.02, 0.2, size=(20_000, 1))
+    hot = r.normal(size=128) + spread * r.normal(size=(20_000, 128))
+    x = np.concatenate([hot, r.normal(size=(10_000, 128))])
+    assert recall(N.neighbours(big_frame(spark, x), least=0.8), x, r.choice(20_000, 150, replace=False)) >= 0.98
