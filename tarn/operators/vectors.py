@@ -101,6 +101,44 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, *, same_label: bool
     return ranked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def within(queries: DataFrame, vectors: DataFrame, least: float) -> DataFrame:
+    """(q, id, sim): all rows of vectors (id, v) whose rounded similarity to a query (q, v) is `least` or more.
+
+    Exact and without a bound on the partners of a query. The stated queries go in blocks of QUERY_BLOCK, each
+    broadcast, against all vectors. A row is no partner of the query with its own id. Null vectors take no part.
+    """
+    spark = vectors.sparkSession
+    total = queries.where("v is not null").count()
+    parts = []
+    blocks = max(1, -(-total // QUERY_BLOCK))
+    for block in range(blocks):
+        rows = queries.where("v is not null").where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == block).select("q", "v").toArrow()
+        if not rows.num_rows:
+            continue
+        ids = np.array(rows.column("q").to_pylist(), np.int64)
+        m = np.array(rows.column("v").to_pylist(), np.float64)
+        m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+        shared = spark.sparkContext.broadcast((ids, m))
+
+        def run(batches, shared=shared, least=least):
+            ids, m = shared.value
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                own = np.array(batch.column("id").to_pylist(), np.int64)
+                x = np.array(batch.column("v").to_pylist(), np.float64)
+                x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+                for at in range(0, len(ids), 256):
+                    sim = m[at : at + 256] @ x.T
+                    a, b = np.nonzero((sim >= least - 1e-6) & (ids[at : at + 256, None] != own[None, :]))
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in (ids[at + a], own[b], sim[a, b])], ["q", "id", "sim"])
+
+        parts.append(vectors.where("v is not null").select("id", "v").mapInArrow(run, "q bigint, id bigint, sim double"))
+    if not parts:
+        return spark.createDataFrame([], "q bigint, id bigint, sim double")
+    return reduce(DataFrame.unionByName, parts).withColumn("sim", F.round("sim", 6)).where(F.col("sim") >= least)
+
+
 def cache_misses(wanted: DataFrame, stored: DataFrame, key: str) -> DataFrame:
     """The distinct keys that have no stored vector yet; nulls are no keys."""
     return wanted.where(F.col(key).isNotNull()).select(key).distinct().join(stored.where(F.col(key).isNotNull()).select(key), key, "left_anti")

@@ -116,8 +116,8 @@ def filtered_knn(spark, d):
 
 
 def cosine_pairs(spark, d):
-    """The neighbours of the query vectors at 0.2 or more."""
-    return V.nearest(_vector_queries(spark, d), _vectors(spark, d), 50).where("sim >= 0.2").select("q", "id", "sim")
+    """All vectors at 0.2 or more of the query vectors."""
+    return V.within(_vector_queries(spark, d), _vectors(spark, d), 0.2)
 
 
 def embedding_norms(spark, d):

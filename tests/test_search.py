@@ -30,6 +30,21 @@ def test_nearest_without_rows(spark):
     assert V.nearest(empty.withColumnRenamed("id", "q"), empty, 3).count() == 0
 
 
+def test_all_partners_at_a_threshold(spark, monkeypatch):
+    from tarn.queries import search
+
+    monkeypatch.setattr(V, "QUERY_BLOCK", 2)
+    r = np.random.default_rng(2)
+    x = r.normal(size=8) + 0.5 * r.normal(size=(300, 8))
+    df = spark.createDataFrame([(i, [float(v) for v in x[i]], 0) for i in range(300)] + [(300, None, 0)], "vec_id long, embedding array<double>, label int").repartition(3)
+    monkeypatch.setattr(search, "table", lambda *_: df)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = {(a, b) for a in (0, 100, 200) for b in range(300) if a != b and round(float(u[a] @ u[b]), 6) >= 0.2}
+    assert len(want) > 3 * 50
+    rows = search.cosine_pairs(spark, None).collect()
+    assert {(r.q, r.id) for r in rows} == want and len(rows) == len(want)
+
+
 def test_bm25_equals_brute_force(spark):
     docs = {1: "exit load nav", 2: "nav nav nav", 3: "expense ratio and the exit load", 4: "", 5: "load", 6: "nav exit"}
     sets = {i: sorted(set(t for t in d.split() if t not in ("and", "the"))) for i, d in docs.items()}
