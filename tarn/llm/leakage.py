@@ -27,8 +27,9 @@ RUN = 8
 GAP, SHIFT = 7, 3
 #: Share of a passage's words that must be copied, and share that must be copied beyond sentences many documents share.
 COPIED, OWN = 0.5, 0.25
-#: A sentence of a passage is shared if so many documents have it without the rest (less than ALONE of the words beside it).
-SHARED_DOCS, ALONE = 20, 0.2
+#: A sentence of a passage is shared if this share of all documents, and at least SHARED_LEAST of them, has it without
+#: the rest (less than ALONE of the words beside it).
+SHARED, SHARED_LEAST, ALONE = 0.01, 10, 0.2
 #: Windows the broadcast set may hold.
 SET_LIMIT = 5_000_000
 
@@ -103,8 +104,8 @@ def chains(segments: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b, _ in runs if b - a >= RUN]
 
 
-def leaks(texts: list[str], passages: Passages) -> Iterator[tuple[int, int, float, list[int]]]:
-    """(document number, passage number, share of the passage copied, its copied sentences)."""
+def leaks(texts: list[str], passages: Passages) -> Iterator[tuple[int, int, float, list[int], bool]]:
+    """(document number, passage number, share of the passage copied, its copied sentences, several in one run)."""
     get = passages.vocabulary.get
     numbers: list[int] = []
     sizes = []
@@ -149,11 +150,13 @@ def leaks(texts: list[str], passages: Passages) -> Iterator[tuple[int, int, floa
             copied[x:y] = True
         starts = passages.starts[k]
         full = [s for s in range(len(starts) - 1) if copied[starts[s] : starts[s + 1]].mean() > 0.6]
-        yield int(doc[a]), k, float(copied.mean()), full
+        inside = lambda x, y, s: min(y, starts[s + 1]) - max(x, starts[s]) > 0.6 * (starts[s + 1] - starts[s])
+        together = any(sum(inside(x, y, s) for s in full) > 1 for x, y in runs)
+        yield int(doc[a]), k, float(copied.mean()), full, together
 
 
 def copied_shares(documents: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc_id, item_id, copied, sentences, sentence_words, item_words) of every document with a run of a passage."""
+    """(doc_id, item_id, copied, sentences, sentence_words, item_words, together) of every document with a run of a passage."""
     ship_package(documents.sparkSession)
     rows = items.where("item_id is not null and passage is not null").groupBy("item_id").agg(F.min("passage").alias("passage")).orderBy("item_id").toLocalIterator()
     passages = Passages([(r[0], r[1]) for r in rows])
@@ -167,30 +170,34 @@ def copied_shares(documents: DataFrame, items: DataFrame) -> DataFrame:
             for at in range(0, batch.num_rows, 1_000):
                 part = batch.slice(at, 1_000)
                 ids = part.column("doc_id").to_pylist()
-                out = [(ids[d], passages.ids[k], c, s, [int(passages.starts[k][x + 1] - passages.starts[k][x]) for x in s], passages.length[k]) for d, k, c, s in leaks(part.column("text").to_pylist(), passages)]
-                kinds = (pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], ["doc_id", "item_id", "copied", "sentences", "sentence_words", "item_words"])
+                out = [(ids[d], passages.ids[k], c, s, [int(passages.starts[k][x + 1] - passages.starts[k][x]) for x in s], passages.length[k], g) for d, k, c, s, g in leaks(part.column("text").to_pylist(), passages)]
+                kinds = (pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int32(), pa.bool_())
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], ["doc_id", "item_id", "copied", "sentences", "sentence_words", "item_words", "together"])
 
-    texts = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return texts.mapInArrow(run, "doc_id bigint, item_id bigint, copied double, sentences array<int>, sentence_words array<int>, item_words int")
+    return _readable(documents).mapInArrow(run, "doc_id bigint, item_id bigint, copied double, sentences array<int>, sentence_words array<int>, item_words int, together boolean")
+
+
+def _readable(documents: DataFrame) -> DataFrame:
+    return documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
 
 
 def leaked(documents: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id): documents in which at least COPIED of the passage's words stand as copied text.
 
     Sentences that many documents have without the rest of the passage are no leak by themselves: beyond them at
-    least OWN of the words must be copied. Null and empty texts and passages, and passages shorter than a window,
+    least OWN of the words must be copied, or several sentences in one run. Null and empty texts and passages, and passages shorter than a window,
     give no row; repeated rows count once. Whole texts are read; extra columns are not.
     """
     pairs = filled(copied_shares(documents, items))
+    many = max(SHARED_LEAST, SHARED * _readable(documents).count())
     each = pairs.select("item_id", "copied", "item_words", F.explode(F.arrays_zip("sentences", "sentence_words")).alias("s"))
     rest = F.col("copied") - F.col("s.sentence_words") / F.col("item_words")
-    alone = each.where(rest < ALONE).groupBy("item_id", F.col("s.sentences").alias("s")).agg(F.count("*").alias("n")).where(F.col("n") >= SHARED_DOCS)
+    alone = each.where(rest < ALONE).groupBy("item_id", F.col("s.sentences").alias("s")).agg(F.count("*").alias("n")).where(F.col("n") >= many)
     common = alone.groupBy("item_id").agg(F.collect_set("s").alias("common"))
     cases = pairs.where(F.col("copied") >= COPIED).join(common, "item_id", "left")
     borrowed = F.aggregate(F.zip_with("sentences", "sentence_words", lambda s, n: F.when(F.array_contains("common", s), n).otherwise(0)), F.lit(0), lambda a, b: a + b)
     own = F.col("copied") - F.when(F.col("common").isNull(), 0.0).otherwise(borrowed / F.col("item_words"))
-    return cases.where(own >= OWN).select("doc_id", "item_id").distinct()
+    return cases.where((own >= OWN) | F.col("together")).select("doc_id", "item_id").distinct()
 
 
 def without_leaks(documents: DataFrame, items: DataFrame) -> DataFrame:

@@ -37,6 +37,21 @@ def test_shared_sentences_are_no_leak(spark):
     assert found(spark, docs, [(5, item)]) == {(99, 5)}
 
 
+LONG = "Savers should always read every paper with care before paying any money at all to anyone."
+
+
+def test_quotations_in_a_small_share_of_documents_are_not_shared_sentences(spark):
+    item = LONG + " Then ask twice."
+    docs = [(i, f"Text number {i} says little. {LONG}", None) for i in range(25)] + [(i, f"Text number {i} says nothing of it.", None) for i in range(100, 3_100)]
+    assert found(spark, docs, [(5, item)]) == {(i, 5) for i in range(25)}
+
+
+def test_several_sentences_in_one_run_stay_a_leak(spark):
+    item = LONG + " Then ask twice more."
+    docs = [(i, f"Text number {i} says little. {LONG}", None) for i in range(30)] + [(99, "Before. " + item + " After.", None)]
+    assert found(spark, docs, [(5, item)]) == {(99, 5)}
+
+
 def test_empty_inputs(spark):
     assert found(spark, [(1, PASSAGE, None)], [(1, None), (2, ""), (3, "too short")]) == set()
     d = spark.createDataFrame([], "doc_id long, text string")
