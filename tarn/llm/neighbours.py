@@ -4,11 +4,13 @@ Vectors get binary codes from a learned rotation (principal axes of a bounded sa
 least). A code is split into substrings, each with an index of its own. Two codes within a Hamming radius of
 tables * (probe + 1) - 1 agree in at least one substring but for `probe` bits (pigeonhole), so probing each index
 with all substrings that differ in so many bits retrieves every such pair. Retrieved pairs are compared by whole
-codes, then by their cosine on the components. All vectors are indexed and all are queries.
+codes, then by their cosine on the components. All vectors are indexed and all are queries. Below the similarities
+that the codes retrieve, what the index leaves open is searched exactly.
 """
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -33,6 +35,10 @@ CROWDED = 2_048
 MATRIX = 4_000_000
 #: Up to so many vectors in substrings of 16 bits, beyond it 21 bits; two bits are probed.
 SHORT_UP_TO = 2_000_000
+#: Neighbours of this cosine the index finds; vectors that have fewer than k of them are compared with all vectors.
+SURE = 0.80
+#: Such vectors that are broadcast in one pass.
+QUERY_BLOCK = 16_384
 #: Unit components as 16-bit fixed point.
 ONE = 32_767
 
@@ -237,8 +243,7 @@ def _search_group(rows: pa.Table, width: int, probe: int, least: float, k: int)
     raw = b"".join(rows.column("code").to_pylist())
     words = np.frombuffer(raw, np.uint64).reshape(len(ids), -1)[order]
     bits = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(len(ids), -1), axis=1)[order]
-    x = (np.frombuffer(b"".join(rows.column("fixed").to_pylist()), np.int16).reshape(len(ids), -1)[order] / np.float32(ONE)).astype(np.float32)
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x = _components(rows.column("fixed").to_pylist())[order]
     home = rows.column("home").to_numpy(zero_copy_only=False)[order].astype(bool)
     block = rows.column("block").to_numpy()[order]
     t, low, high = (rows.column(c)[0].as_py() for c in ("t", "low", "high"))
@@ -250,8 +255,92 @@ def _search_group(rows: pa.Table, width: int, probe: int, least: float, k: int)
     return pa.table([pa.array(ids[i[cuts]], pa.int64()), near], ["vec_id", "near"])
 
 
+def _components(fixed: list[bytes]) -> np.ndarray:
+    x = (np.frombuffer(b"".join(fixed), np.int16).reshape(len(fixed), -1) / np.float32(ONE)).astype(np.float32)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+class Running:
+    """The k best partners of stated queries among batches of vectors."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, least: float, k: int):
+        self.ids, self.x, self.k = ids, x, k
+        self.floor = np.full(len(ids), least, np.float32)
+        self.best = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float32))]
+
+    def take(self, own: np.ndarray, x: np.ndarray) -> None:
+        others = np.ascontiguousarray(x.T)
+        step = max(1, MATRIX // len(own))
+        for at in range(0, len(self.ids), step):
+            sim = self.x[at : at + step] @ others
+            sim[self.ids[at : at + step, None] == own[None, :]] = -2
+            floor = self.floor[at : at + step]
+            if len(own) > self.k:
+                floor = np.maximum(floor, np.partition(sim, -self.k, 1)[:, -self.k])
+            a, b = np.nonzero((sim >= floor[:, None]) & (sim > -2))
+            self.best.append((at + a, own[b], sim[a, b]))
+        self.merge()
+
+    def merge(self) -> None:
+        q, i, s = (np.concatenate(c) for c in zip(*self.best))
+        order = np.lexsort((i, -s, q))
+        q, i, s = q[order], i[order], s[order]
+        rank = np.arange(len(q)) - np.searchsorted(q, q)
+        last = rank == self.k - 1
+        self.floor[q[last]] = np.maximum(self.floor[q[last]], s[last])
+        self.best = [(q[rank < self.k], i[rank < self.k], s[rank < self.k])]
+
+
+def exact(queries: DataFrame, encoded: DataFrame, *, k: int, least: float) -> DataFrame:
+    """(vec_id, near) of the stated queries (vec_id, fixed) against all of encoded, in broadcast blocks; encoded and queries must be materialised."""
+    spark = encoded.sparkSession
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    parts = []
+    for block in range(blocks):
+        rows = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == block).select("vec_id", "fixed").toArrow()
+        if not rows.num_rows:
+            continue
+        shared = spark.sparkContext.broadcast((rows.column("vec_id").to_numpy(), b"".join(rows.column("fixed").to_pylist())))
+
+        def run(batches, shared=shared):
+            from tarn.llm.neighbours import DIMENSION, Running, _components
+
+            ids, raw = shared.value
+            running = Running(ids, _components([raw[at : at + 2 * DIMENSION] for at in range(0, len(raw), 2 * DIMENSION)]), least, k)
+            for batch in batches:
+                if batch.num_rows:
+                    running.take(batch.column("vec_id").to_numpy(), _components(batch.column("fixed").to_pylist()))
+            q, i, s = running.best[0]
+            if len(q):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(s, pa.float32()), pa.array(i)], ["vec_id", "s", "b"])
+
+        parts.append(encoded.select("vec_id", "fixed").mapInArrow(run, "vec_id bigint, s float, b bigint"))
+    if not parts:
+        return spark.createDataFrame([], _FOUND)
+    return _ranked(reduce(DataFrame.unionByName, parts).groupBy("vec_id").agg(F.collect_list(F.struct("s", "b")).alias("near")), k)
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    return found.select("vec_id", F.slice(F.array_sort("near", lambda a, b: F.when(a["s"] > b["s"], -1).when(a["s"] < b["s"], 1).when(a["b"] < b["b"], -1).when(a["b"] > b["b"], 1).otherwise(0)), 1, k).alias("near"))
+
+
 def nearest(encoded: DataFrame, *, k: int = K, least: float = -1.0) -> DataFrame:
-    """(vec_id, near): up to k (similarity, vec_id) of distinct codes rows, best first; encoded must be materialised."""
+    """(vec_id, near): up to k (similarity, vec_id) of distinct codes rows, best first; encoded must be materialised.
+
+    The index answers for the vectors that have k neighbours of SURE or more (fewer with a column `need`); if less than
+    SURE is asked for, all others are compared with all vectors.
+    """
+    if least >= SURE:
+        return _indexed(encoded, k=k, least=least)
+    need = F.col("need") if "need" in encoded.columns else F.lit(k)
+    sure = checkpointed(_indexed(encoded, k=k, least=SURE))
+    state = encoded.select("vec_id", "fixed", need.alias("need")).join(sure, "vec_id", "left").withColumn("done", F.coalesce(F.size("near"), F.lit(0)) >= F.col("need"))
+    lacking = checkpointed(state.where(~F.col("done")).select("vec_id", "fixed"))
+    return sure.join(lacking.select("vec_id"), "vec_id", "left_anti").unionByName(exact(lacking, encoded, k=k, least=least))
+
+
+def _indexed(encoded: DataFrame, *, k: int, least: float) -> DataFrame:
+    """(vec_id, near) of the pairs that the substring indexes retrieve."""
     n = encoded.count()
     width, tables, probe = layout(n)
     spread = 0
@@ -279,7 +368,7 @@ def nearest(encoded: DataFrame, *, k: int = K, least: float = -1.0) -> DataFrame
 
     found = rows.groupBy("t", "g", "low", "high").applyInArrow(search, _FOUND)
     best = found.groupBy("vec_id").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
-    return best.select("vec_id", F.slice(F.array_sort("near", lambda a, b: F.when(a["s"] > b["s"], -1).when(a["s"] < b["s"], 1).when(a["b"] < b["b"], -1).when(a["b"] > b["b"], 1).otherwise(0)), 1, k).alias("near"))
+    return _ranked(best, k)
 
 
 def neighbours(vectors: DataFrame, *, k: int = K, least: float = -1.0, ident: str = "vec_id", vector: str = "vector") -> DataFrame:
@@ -301,7 +390,7 @@ def neighbours(vectors: DataFrame, *, k: int = K, least: float = -1.0, ident: st
     low = checkpointed(lowest.groupBy("h", "fixed").agg(F.array_sort(F.collect_list("vec_id")).alias("low")))
     codes = members.groupBy("h", "fixed").agg(F.min("vec_id").alias("rep"), F.min("code").alias("code"))
     groups = checkpointed(codes.join(low, ["h", "fixed"]).select("rep", "low", "h", F.col("code"), "fixed"))
-    found = nearest(groups.select(F.col("rep").alias("vec_id"), "code", "fixed"), k=k, least=least)
+    found = nearest(groups.select(F.col("rep").alias("vec_id"), "code", "fixed", (F.lit(k + 1) - F.size("low")).alias("need")), k=k, least=least)
     outer = found.select(F.col("vec_id").alias("rep"), F.posexplode("near").alias("pos", "n")).join(groups.select(F.col("rep").alias("other"), F.col("low").alias("theirs")), F.col("n.b") == F.col("other"))
     outer = outer.groupBy("rep").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "theirs", F.col("n.s").alias("s")))), lambda x: F.transform(x["theirs"], lambda y: F.struct(y.alias("b"), x["s"].alias("s"))))).alias("others"))
     plan = groups.join(outer, "rep", "left").select("h", "fixed", F.concat(F.transform("low", lambda y: F.struct(y.alias("b"), F.lit(1.0).cast("float").alias("s"))), F.coalesce("others", F.array().cast("array<struct<b:bigint,s:float>>"))).alias("partners"))

@@ -91,3 +91,13 @@ def test_hot_cluster(spark):
     hot = r.normal(size=128) + spread * r.normal(size=(20_000, 128))
     x = np.concatenate([hot, r.normal(size=(10_000, 128))])
     assert recall(N.neighbours(big_frame(spark, x), least=0.8), x, r.choice(20_000, 150, replace=False)) >= 0.98
+
+
+def test_far_neighbours_come_out(spark, monkeypatch):
+    monkeypatch.setattr(N, "QUERY_BLOCK", 200)
+    x = np.concatenate([clusters(60, 8), clusters(20, 3, seed=5), np.random.default_rng(9).normal(size=(300, 128))])
+    found = N.neighbours(big_frame(spark, x)).cache()
+    assert found.count() == 5 * len(x)
+    assert recall(found, x, np.arange(len(x))) >= 0.99
+    x = np.concatenate([x, x[480:500]])
+    assert N.neighbours(big_frame(spark, x)).groupBy("vec_id").count().where("count = 5").count() == len(x)
