@@ -101,3 +101,25 @@ def test_far_neighbours_come_out(spark, monkeypatch):
     assert recall(found, x, np.arange(len(x))) >= 0.99
     x = np.concatenate([x, x[480:500]])
     assert N.neighbours(big_frame(spark, x)).groupBy("vec_id").count().where("count = 5").count() == len(x)
+
+
+def test_recall_of_the_wide_layout(spark, monkeypatch):
+    monkeypatch.setattr(N, "SHORT_UP_TO", 0)
+    monkeypatch.setattr(N, "GROUP_ROWS", 100)
+    x = clusters(60, 8, spread=0.42)
+    want = truth(x)
+    got = {(r.vec_a, r.vec_b) for r in N.similar_pairs(big_frame(spark, x)).collect()}
+    assert len(got & want) >= 0.97 * len(want)
+
+
+@pytest.mark.parametrize("cosine", [0.80, 0.85, 0.90])
+def test_wide_layout_retrieves_as_much_as_the_narrow_one(cosine):
+    r = np.random.default_rng(4)
+    a = r.random((50_000, 128)) < 0.5
+    b = a ^ (r.random(a.shape) < np.arccos(cosine) / np.pi)
+    shares = []
+    for n in (N.SHORT_UP_TO, N.SHORT_UP_TO + 1):
+        width, tables, probe = N.layout(n)
+        apart = N.substrings(a, width, tables) ^ N.substrings(b, width, tables)
+        shares.append(np.any([N.differing(x.astype(np.uint64).reshape(-1, 1)) <= probe for x in apart.T], 0).mean())
+    assert shares[1] >= shares[0] - 0.002
