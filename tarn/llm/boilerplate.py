@@ -1,113 +1,177 @@
-"""Menus, notices, teasers and footers among the nodes of web pages.
-
-The token streams of a site's pages are put end to end and a suffix array over them gives the long substrings that
-stand on many distinct pages; they may cross nodes. What they cover is proposed as boilerplate. Because a page's own
-headings, facts, paragraphs, steps and questions may be shared too, the proposals are then checked by what a node is
-and by where its text stands on all pages: texts that are no sentences count as boilerplate if most of their
-occurrences lie in covered runs, before the title, after the last piece of content or under a side heading.
+"""Menus, notices, teasers and footers among the nodes of web pages, by suffix arrays per site.
+
+The token streams of a site's pages are put end to end, with a mark between nodes and at separators. A suffix array
+over them (prefix doubling) gives every substring of LONG tokens, and every whole entry between two marks, with the
+number of distinct pages it stands on; substrings may cross nodes. What stands on a large share of a site's pages is
+the site's template. The template shows where a page's frame lies and which headings open a side block. Unique runs
+are kept, but for what the template encloses: entries of a confirmed frame and of side blocks. A check follows for
+texts that the array leaves open: prose goes if enough of its word triples are known from the template's texts and
+rare in unique prose, short entries go if most of their occurrences on all pages lie in template runs. No wording is
+given beforehand.
 """
 
 from __future__ import annotations
 
-import re
+import hashlib
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.session import filled, ship_package
-
-#: Tokens of a repeated substring at least, and the lengths at which repeats are counted.
-LONG, LENGTHS = 6, (6, 8, 16, 32)
-#: A substring is repeated if it stands on so many distinct pages of a shard, and on this share of them.
-PAGES, PAGES_SHARE = 3, 0.02
-#: Pages of a site that share one suffix array.
-SHARD_PAGES = 400
-#: A text is judged by its occurrences on all pages if there are so many; and the share of them that makes it boilerplate.
+from tarn.session import checkpointed, ship_package
+
+#: Tokens of a substring. Shorter entries count where they stand alone between two marks.
+LONG = 6
+#: A substring is repeated if it stands on so many distinct pages of its site and on this share of them.
+PAGES, REPEATED = 3, 0.01
+#: Repeated text is the site's template if it stands on this share of its pages: for entries, and for sentences.
+TEMPLATE, TEMPLATE_PROSE = 0.06, 0.10
+#: The share of a node's tokens that must be repeated so often is one less this quantile.
+QUANTILE = 0.2
+#: Characters of a site that share one suffix array; larger sites are spread over shards whose counts are added up.
+SHARD_CHARS = 8_000_000
+#: An entry is judged by its occurrences on all pages if there are so many; and the share of them that decides.
 SEEN, SHARE = 3, 0.5
-
-_TOKEN = re.compile(r"[^\W\d_]+|\d+")
-_SENTENCE_END = re.compile(r"[.!?।॥]['\"”’)\]]*$")
-
-# Wordings of consent notices, legal notices, prompts and page furniture as sites commonly print them.
-NOTICE = re.compile(
-    r"\bwe (use|rely on|keep and read)\b.*\b(cookies?|data on your)\b|\bcookies? (help|are needed|policy|settings)|\bsome cookies\b|\byour privacy matters\b|\byou let us store\b|\bstores small files\b|\brely on cookies\b|\bpartners and we\b|कुकी"
-    r"|\bcarry market risk\b|\bsubject to (market )?risks?\b|\bmay rise or fall\b|\bexposed to market movement\b|\bno return is assured\b|\bpast (figures|performance)\b.*\bno (promise|guarantee)\b|\bread all (scheme|offer)[^.]*\bpapers|\bread all scheme\b"
-    r"|^\s*(©|\(c\)|copyright)\s|\ball rights reserved\b|\band its licensors\b"
-    r"|^(page |site |last )?(last )?(updated|reviewed|modified)( on)?\b.{0,40}$|\bpage last updated\b|\bsite reviewed on\b|\bbest viewed in\b|^visitors?\s*:",
-    re.I,
-)
-PROMPT = re.compile(
-    r"^(get|download|install|try) (our|the) (free )?(mobile )?app\b|^scan the (qr )?code\b|^subscribe\b|^sign up\b|^join [\d,.]+ |^talk to (an|our) (expert|adviser|advisor)|^open (a|your) free account|^start (with .{1,20} today|investing)|\bweekly letter\b|\bnewsletter\b|^follow us\b",
-    re.I,
-)
-CONTROL = re.compile(r"^(\d{1,2}\s?[dwmy]|\d{1,2} (days?|weeks?|months?|years?)|ytd|max|all|custom|reset|apply|clear|filter|sort by.*|since launch)$", re.I)
-SHARING = re.compile(r"^(share|share this( page)?|print|print this page|whatsapp|facebook|twitter|telegram|linkedin|copy link|save as pdf|e-?mail this page|a[+\-−]|bookmark|tweet)$", re.I)
-CRUMBS = re.compile(r"^(home|होम)\s*(>|›|»|/|→|::|\|)\s*\S+.*(>|›|»|/|→|::|\|)", re.I)
-TEASER = re.compile(r"(…|\.\.\.|(…|\.\.\.)?\s*(read more|continue reading|know more|view all|see more|learn more))\s*[»›>]?$", re.I)
-ADDRESS = re.compile(r"^[^.!?]{3,60}\b(house|tower|building|centre|center|plaza|chambers|bhavan)\b,?\s+(no\.?\s*)?\d+[^.!?]{5,80}$", re.I)
-
-#: One of these stands in every notice; the pattern is tried only on texts that have one.
-HINTS = ("cookie", "कुकी", "your browser", "privacy", "let us store", "small files", "partners and we", "risk", "rise or fall", "market movement", "assured", "past ", "read all", "©", "(c)", "copyright", "reserved", "licensors", "updated", "reviewed", "modified", "viewed", "visitor", "data on your")
-
-MAIN, SURE, OPEN = 0, 1, 2
-#: Texts whose class a worker remembers.
+#: A word triple is the template's if it stands in this share of its distinct texts and is rarer in unique prose;
+#: prose goes if this share of its triples are the template's.
+BANK, COVERED = 0.0005, 0.2
+#: Texts whose tokens a worker remembers.
 REMEMBERED = 100_000
-_CLASSES: dict[tuple[str, str], int] = {}
 
+_TOKEN = regex.compile(r"[\p{L}\p{M}]+|\d+")
+_PIECE = regex.compile(r"[\p{L}\p{M}]+|\d+|[|·•»›>→/\\]|::")
+_SENTENCE_END = regex.compile(r"[.!?।॥]['\"”’)\]]*$")
+# How a text ends that is cut short or points to the rest.
+_CUT_SHORT = regex.compile(r"(…|\.\.\.|(read|see|learn|know) more|continue reading|view all)\s*[»›>→]?$", regex.I)
+
+MAIN, SURE, OPEN, PROSE = 0, 1, 2, 3
 
-def key_of(text: str) -> str:
-    """A text by its words alone, numbers alike."""
-    return " ".join("0" if t.isdigit() else t for t in _TOKEN.findall(text.lower()))
 
+def _tokens(text: str) -> list[str]:
+    return ["0" if t.isdigit() else t for t in _TOKEN.findall(text.lower())]
 
-def repeats(stream: np.ndarray, page: np.ndarray, pages: int) -> np.ndarray:
-    """For each token the length of the longest substring over it that stands on many pages (0 if none).
 
-    stream holds one number per token, with a number of its own between pages. The suffix array is built by doubling:
-    after each round the suffixes are ranked by twice as many tokens, and equal ranks are repeats of that length.
+def _digest(text: str) -> bytes:
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
+
+class Stream:
+    """The token streams of some pages of one site; symbol 0 is the mark between nodes, entries and pages."""
+
+    def __init__(self, texts: list, page: np.ndarray):
+        self.numbers: dict[str, int] = {}
+        symbol: list[int] = []
+        node: list[int] = []
+        known: dict[str, list[int]] = {}
+        for at, text in enumerate(texts):
+            symbol.append(0)
+            node.append(-1)
+            if not text:
+                continue
+            found = known.get(text)
+            if found is None:
+                found = [self.numbers.setdefault("0" if t.isdigit() else t, len(self.numbers) + 1) if t[0].isalnum() or _TOKEN.match(t) else 0 for t in _PIECE.findall(text.lower())]
+                if len(known) < REMEMBERED:
+                    known[text] = found
+            symbol += found
+            node += [at] * len(found)
+        symbol.append(0)
+        node.append(-1)
+        self.symbol = np.array(symbol, np.int64)
+        self.node = np.array(node, np.int64)
+        # the mark before a node belongs to the node's page
+        owner = np.zeros(len(symbol), np.int64)
+        marks = np.flatnonzero(self.node < 0)
+        owner[marks[:-1]] = np.arange(len(texts)) if len(texts) else 0
+        inside = self.node >= 0
+        owner[inside] = self.node[inside]
+        self.page = page[owner] if len(texts) else np.empty(0, np.int64)
+        if len(texts):
+            self.page[-1] = page[-1]
+        self.node[self.symbol == 0] = -1
+
+    def names(self) -> np.ndarray:
+        """A 64-bit name of every symbol, the same in every shard."""
+        out = np.empty(len(self.numbers) + 1, np.uint64)
+        out[0] = 1
+        for token, k in self.numbers.items():
+            out[k] = int.from_bytes(hashlib.blake2b(token.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+        return out
+
+
+def substrings(symbol: np.ndarray, page: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, length, pages) of every substring of LONG symbols and of every shorter whole entry with its two marks.
+
+    The suffixes are ranked by 1, 2, 4 symbols by doubling; two overlapping ranks name a substring of any length up to
+    8. Suffixes of equal name lie together in the array; `pages` counts the distinct pages among them.
     """
-    n = len(stream)
-    covered = np.zeros(n + 1, np.int32)
+    n = len(symbol)
+    empty = np.empty(0, np.int64)
     if not n:
-        return covered[:0]
-    least = max(PAGES, int(np.ceil(PAGES_SHARE * pages)))
-    rank = {1: np.unique(stream, return_inverse=True)[1].astype(np.int64)}
-
-    def joined(a: int, b: int) -> np.ndarray:
-        """Ranks by a + b tokens from the ranks by a and by b."""
+        return empty, empty, empty
+    rank = {1: np.unique(symbol, return_inverse=True)[1].astype(np.int64)}
+    for size in (1, 2):
         tail = np.zeros(n, np.int64)
-        tail[: n - a] = rank[b][a:] + 1
-        return np.unique(rank[a] * (n + 2) + tail, return_inverse=True)[1].astype(np.int64)
-
-    size = 1
-    while size < max(LENGTHS):
-        rank[2 * size] = joined(size, size)
-        size *= 2
-    for length in LENGTHS:
-        if length not in rank:
-            a = 1 << (length.bit_length() - 1)
-            rank[length] = joined(a, length - a)
-        r = rank[length]
-        order = np.argsort(r, kind="stable")
-        first = np.r_[True, r[order][1:] != r[order][:-1]]
-        other = first | np.r_[True, page[order][1:] != page[order][:-1]]
-        distinct = np.add.reduceat(other.astype(np.int64), np.flatnonzero(first))
-        many = distinct[np.cumsum(first) - 1] >= least
-        starts = order[many]
-        starts = starts[starts + length <= n]
-        starts = starts[page[starts] == page[starts + length - 1]]
-        inside = np.cumsum(np.bincount(starts, minlength=n + 1) - np.bincount(starts + length, minlength=n + 1))[:n] > 0
-        covered[:n][inside] = length
-    return covered[:n]
+        tail[: n - size] = rank[size][size:] + 1
+        rank[2 * size] = np.unique(rank[size] * (n + 2) + tail, return_inverse=True)[1].astype(np.int64)
+    marks = np.flatnonzero(symbol == 0)
+    gap = np.diff(marks)
+    found = []
+    for length in range(3, LONG + 2):
+        start = marks[:-1][gap == length - 1]
+        if length == LONG:
+            every = np.arange(max(0, n - length + 1))
+            start = every[page[every] == page[every + length - 1]]
+        half = 2 if length < 4 else 4
+        start = start[page[start] == page[start + length - 1]] if len(start) else start
+        if not len(start):
+            continue
+        name = np.unique(rank[half][start] * (n + 2) + rank[half][start + length - half], return_inverse=True)[1].astype(np.int64)
+        order = np.lexsort((page[start], name))
+        first = np.r_[True, name[order][1:] != name[order][:-1]]
+        other = first | np.r_[True, page[start][order][1:] != page[start][order][:-1]]
+        many = np.add.reduceat(other.astype(np.int64), np.flatnonzero(first))
+        found.append((start, np.full(len(start), length), many[name]))
+    if not found:
+        return empty, empty, empty
+    return tuple(np.concatenate(c) for c in zip(*found))
+
+
+def named(symbol: np.ndarray, names: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The 64-bit name of each substring, the same in every shard."""
+    word = names[symbol]
+    out = np.zeros(len(start), np.uint64)
+    for k in range(int(length.max()) if len(length) else 0):
+        live = length > k
+        x = (out[live] ^ word[start[live] + k]) * np.uint64(0x9E3779B97F4A7C15)
+        out[live] = x ^ (x >> np.uint64(29))
+    return out
+
+
+def strength(stream: Stream, nodes: int, start: np.ndarray, length: np.ndarray, pages: np.ndarray) -> np.ndarray:
+    """The number of pages on which almost all of each node's tokens are repeated."""
+    best = np.zeros(len(stream.symbol), np.int64)
+    for size in np.unique(length):  # substrings of one length have different starts
+        at, many = start[length == size], pages[length == size]
+        for k in range(size):
+            best[at + k] = np.maximum(best[at + k], many)
+    inside = stream.node >= 0
+    node, value = stream.node[inside], best[inside]
+    order = np.lexsort((value, node))
+    node, value = node[order], value[order]
+    first = np.searchsorted(node, np.arange(nodes))
+    size = np.searchsorted(node, np.arange(nodes), "right") - first
+    out = np.zeros(nodes, np.int64)
+    some = size > 0
+    out[some] = value[first[some] + (size[some] * QUANTILE).astype(np.int64)]
+    return out
 
 
 def prose(text: str) -> bool:
     """A sentence or more of running text."""
-    words = text.split()
-    end = text[-60:]
-    return len(words) >= 4 and bool(_SENTENCE_END.search(end)) and not TEASER.search(end)
+    return len(text.split()) >= 4 and bool(_SENTENCE_END.search(text[-60:])) and not _CUT_SHORT.search(text[-60:])
 
 
 def phrase(text: str) -> bool:
@@ -115,166 +179,254 @@ def phrase(text: str) -> bool:
     return len(text.split()) >= 3 and text[0].islower() and text[0].isascii()
 
 
-def class_of(kind: str, text: str) -> int:
-    """What a node's text is by itself: sure boilerplate, running text of the page, or open."""
-    found = _CLASSES.get((kind, text))
-    if found is not None:
-        return found
-    low = text.lower()
-    end = text[-60:]
-    if (any(h in low for h in HINTS) and NOTICE.search(text)) or PROMPT.search(text) or CRUMBS.search(text) or (kind != "heading" and len(text) < 40 and (CONTROL.match(text) or SHARING.match(text))):
-        out = SURE
-    elif kind == "paragraph":
-        out = SURE if TEASER.search(end) or (len(text) < 160 and ADDRESS.match(text)) else MAIN if prose(text) else OPEN
-    else:
-        out = MAIN if kind in ("list_item", "table_row") and (prose(text) or phrase(text)) else OPEN
-    if len(_CLASSES) >= REMEMBERED:
-        _CLASSES.clear()
-    _CLASSES[kind, text] = out
-    return out
+def page_verdicts(kind: list, level: list, label: list, texts: list, pages: list, of: int) -> tuple[list, list, list]:
+    """(verdict, evidence, trains) of each node of a page in order.
 
-
-def page_verdicts(kind: list, level: list, label: list, texts: list, cover: list) -> tuple[list, list]:
-    """(verdict, evidence) of each node of a page in order; evidence holds for open nodes: it stands like boilerplate."""
+    pages: on how many of the site's `of` pages the node's text is repeated. Verdicts are MAIN, SURE (boilerplate),
+    OPEN (an entry to be judged by all its occurrences) and PROSE (to be judged by its word triples); evidence says
+    that an entry stands like boilerplate; trains is 1 for texts of the template, 0 for unique prose, else None.
+    """
     n = len(texts)
-    verdict, evidence = [OPEN] * n, [False] * n
     clean = [" ".join((t or "").split()) for t in texts]
-    side = [kind[i] == "heading" and (level[i] or 1) >= 3 for i in range(n)]
-    title = next((i for i in range(n) if kind[i] == "heading" and (level[i] or 1) == 1), None)
+    least = max(PAGES, REPEATED * of)
+    # what a node is by itself: A own content, F labelled fact, H side heading of the template, h other low heading,
+    # T template, P sentences that are repeated, t anything else
+    form = []
     for i in range(n):
-        t, k = clean[i], kind[i]
-        labelled = bool(label[i]) and k in ("table_row", "list_item")
-        if k in ("accordion", "quote") or (k == "heading" and not side[i]):
-            verdict[i] = MAIN
-        elif labelled:
-            verdict[i] = MAIN
+        k, t, q = kind[i], clean[i], pages[i]
+        if k == "heading":
+            form.append("A" if (level[i] or 1) <= 2 else "H" if q >= least else "h")
+        elif k in ("accordion", "quote"):
+            form.append("A")
+        elif label[i]:
+            form.append("F")
         elif not t:
-            verdict[i] = OPEN
+            form.append("t")
+        elif prose(t):
+            form.append("A" if q < least else "T" if q >= max(PAGES, TEMPLATE_PROSE * of) else "P")
+        elif k == "list_item" and phrase(t):
+            form.append("A")
         else:
-            verdict[i] = class_of(k, t)
-    # under a side heading: entries until something else begins
-    under, entry = False, None
+            form.append("T" if q >= max(PAGES, TEMPLATE * of) else "t")
+    # a side block: entries under a heading of the template until own content begins
+    # (under a low heading that is not the template's, what stands there is only open to doubt)
+    side, doubt = [False] * n, [False] * n
+    under, entry = None, None
     for i in range(n):
-        if side[i]:
-            under, entry = True, None
+        if form[i] in "Hh":
+            under, entry = side if form[i] == "H" else doubt, None
+            under[i] = True
             continue
-        if not under:
+        if under is None:
             continue
         k = "table_row" if label[i] else kind[i]
-        if kind[i] == "heading" or kind[i] in ("accordion", "quote") or (kind[i] == "paragraph" and verdict[i] == MAIN):
-            under = False
-        elif kind[i] == "list_item" and not label[i] and verdict[i] == MAIN:
-            under = False
-        elif label[i] and entry is None and k != "table_row":
-            under = False
+        if form[i] == "A" or (form[i] == "F" and entry is None and k != "table_row"):
+            under = None
         else:
-            entry = k
-            if label[i]:
-                verdict[i] = OPEN
-            evidence[i] = True
-    anchors = [i for i in range(n) if verdict[i] == MAIN]
-    first = title if title is not None else (anchors[0] if anchors else n)
+            entry, under[i] = k, True
+    anchors = [i for i in range(n) if form[i] == "A" or (form[i] == "F" and not side[i])]
+    heads = [i for i in anchors if kind[i] == "heading"]
+    first = heads[0] if heads else anchors[0] if anchors else n
     last = anchors[-1] if anchors else -1
+    # the frame before the first own heading and after the last own content, where the template confirms it
+    framed = [not anchors or any(f in "TH" for f in form[:first]), not anchors or any(f in "TH" for f in form[last + 1 :])]
+    before = [i < first and framed[0] for i in range(n)]
+    after = [i > last and framed[1] for i in range(n)]
+    # entries in one run share the run's evidence
+    run = [0.0] * n
+    i = 0
+    while i < n:
+        j = i
+        while j < n and kind[j] == "list_item" and form[j] in "Tt":
+            j += 1
+        for m in range(i, j):
+            run[m] = sum(f == "T" for f in form[i:j]) / (j - i)
+        i = max(j, i + 1)
+    verdict, evidence, trains = [OPEN] * n, [False] * n, [None] * n
     for i in range(n):
-        if i < first and verdict[i] == MAIN and title is not None and not label[i] and kind[i] in ("paragraph", "list_item"):
-            verdict[i] = SURE
-        if verdict[i] == OPEN and (i < first or i > last or cover[i] >= 0.8):
-            evidence[i] = evidence[i] or not label[i]
-        if side[i]:
+        f = form[i]
+        inner = first <= i <= last and not side[i]
+        sentences = kind[i] != "heading" and bool(clean[i]) and prose(clean[i])
+        if f == "A":
+            verdict[i] = SURE if before[i] and kind[i] in ("paragraph", "list_item") else PROSE if sentences and kind[i] == "paragraph" else MAIN
+        elif f == "F":
+            verdict[i] = OPEN if side[i] or doubt[i] else SURE if before[i] else MAIN
+            evidence[i] = side[i]
+        elif f == "H":
             ahead = next((j for j in range(i + 1, n) if clean[j]), None)
-            verdict[i] = MAIN if ahead is not None and kind[ahead] == "paragraph" and verdict[ahead] == MAIN and first <= i <= last and cover[i] < 0.8 else SURE
-    return verdict, evidence
+            verdict[i] = OPEN if inner and ahead is not None and form[ahead] == "A" and kind[ahead] == "paragraph" else SURE
+            evidence[i] = before[i] or after[i]
+        elif f == "h":
+            ahead = next((j for j in range(i + 1, n) if clean[j]), None)
+            evidence[i] = before[i] or after[i] or not (ahead is not None and form[ahead] in "AF")
+        elif f == "T":
+            verdict[i] = PROSE if sentences and inner else SURE
+        elif f == "P":
+            verdict[i] = SURE if before[i] else PROSE
+        else:
+            verdict[i] = OPEN if not clean[i] else SURE if before[i] or (kind[i] == "paragraph" and (after[i] or side[i])) else PROSE if kind[i] == "paragraph" else OPEN
+            evidence[i] = before[i] or (after[i] and not clean[i]) or side[i] or run[i] >= SHARE or not anchors
+        if not label[i] and clean[i]:
+            if verdict[i] == SURE or f == "T" or (side[i] and f in "tP"):
+                trains[i] = 1
+            elif f == "A" and verdict[i] in (MAIN, PROSE) and kind[i] != "heading":
+                trains[i] = 0
+    for i in range(n):  # what is sure here is evidence for the same text elsewhere
+        evidence[i] = evidence[i] or verdict[i] == SURE
+    return verdict, evidence, trains
 
 
-_OUT = "node_id bigint, page_id bigint, kind string, key string, verdict int, evidence boolean, cover double"
+_OUT = "node_id bigint, page_id bigint, kind string, key binary, verdict int, evidence boolean, trains int, words string"
+_IN = ("node_id", "page_id", "node_order", "node_type", "node_level", "label", "text", "of")
 
 
-def _shard(table: pa.Table) -> pa.Table:
+def _ordered(table: pa.Table) -> tuple[dict, np.ndarray]:
+    """The columns of a shard in page order, and the number of each node's page."""
     rows = table.to_pydict()
-    n = table.num_rows
-    order = sorted(range(n), key=lambda i: (rows["page_id"][i], rows["node_order"][i] if rows["node_order"][i] is not None else -1, rows["node_id"][i]))
-    numbers: dict[str, int] = {}
-    stream: list[int] = []
-    page: list[int] = []
-    node: list[int] = []
-    keys: list[str] = []
-    previous, pages = None, 0
-    for at, i in enumerate(order):
-        if rows["page_id"][i] != previous:
-            previous = rows["page_id"][i]
-            pages += 1
-            stream.append(-pages)
-            page.append(pages)
-            node.append(-1)
-        words = ["0" if t.isdigit() else t for t in _TOKEN.findall((rows["text"][i] or "").lower())]
-        keys.append(" ".join(words[:40])[:200])
-        stream += [numbers.setdefault(t, len(numbers)) for t in words]
-        page += [pages] * len(words)
-        node += [at] * len(words)
-    node_of = np.array(node, np.int64)
-    length = repeats(np.array(stream, np.int64), np.array(page, np.int64), pages)
-    inside = node_of >= 0
-    total = np.bincount(node_of[inside], minlength=n)
-    cover = (np.bincount(node_of[inside], length[inside] >= LONG, minlength=n) / np.maximum(total, 1)).tolist()
-    out: dict[str, list] = {k: [] for k in ("node_id", "page_id", "kind", "key", "verdict", "evidence", "cover")}
-    a = 0
-    while a < n:
-        b = a
-        while b < n and rows["page_id"][order[b]] == rows["page_id"][order[a]]:
-            b += 1
-        part = order[a:b]
-        kinds, labels = [rows["node_type"][i] for i in part], [(rows["label"][i] or "").strip() for i in part]
-        texts = [rows["text"][i] for i in part]
-        verdict, evidence = page_verdicts(kinds, [rows["node_level"][i] for i in part], labels, texts, cover[a:b])
-        for j, i in enumerate(part):
-            out["node_id"].append(rows["node_id"][i])
-            out["page_id"].append(rows["page_id"][i])
+    order = sorted(range(table.num_rows), key=lambda i: (rows["page_id"][i], rows["node_order"][i] if rows["node_order"][i] is not None else -1, rows["node_id"][i]))
+    rows = {k: [v[i] for i in order] for k, v in rows.items()}
+    return rows, np.unique(np.array(rows["page_id"], np.int64), return_inverse=True)[1].astype(np.int64)
+
+
+def _frequent(table: pa.Table) -> pa.Table:
+    """(name) of the substrings that are repeated within one shard of a site; what is repeated on the site is so in a shard."""
+    rows, page = _ordered(table)
+    stream = Stream(rows["text"], page)
+    start, length, pages = substrings(stream.symbol, stream.page)
+    many = pages >= REPEATED * (page[-1] + 1)
+    found = np.unique(named(stream.symbol, stream.names(), start[many], length[many]))
+    return pa.table([pa.array(found.view(np.int64))], ["name"])
+
+
+def _counted(table: pa.Table, names: pa.Table) -> pa.Table:
+    """(name, pages) of the given substrings in one shard of a site."""
+    if not table.num_rows:
+        return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64())], ["name", "pages"])
+    rows, page = _ordered(table)
+    stream = Stream(rows["text"], page)
+    start, length, pages = substrings(stream.symbol, stream.page)
+    name, first = np.unique(named(stream.symbol, stream.names(), start, length).view(np.int64), return_index=True)
+    asked = np.isin(name, names.column("name").to_numpy())
+    return pa.table([pa.array(name[asked]), pa.array(pages[first[asked]])], ["name", "pages"])
+
+
+def _judged(table: pa.Table, totals: pa.Table | None) -> pa.Table:
+    """The nodes of one shard with their verdicts; totals are the page counts over all shards of the site, if there are several."""
+    types = pa.schema([("node_id", pa.int64()), ("page_id", pa.int64()), ("kind", pa.string()), ("key", pa.binary()), ("verdict", pa.int32()), ("evidence", pa.bool_()), ("trains", pa.int32()), ("words", pa.string())])
+    if not table.num_rows:
+        return types.empty_table()
+    rows, page = _ordered(table)
+    n = len(page)
+    stream = Stream(rows["text"], page)
+    start, length, pages = substrings(stream.symbol, stream.page)
+    if totals is not None:
+        name = named(stream.symbol, stream.names(), start, length).view(np.int64)
+        known = totals.column("name").to_numpy()
+        order = np.argsort(known)
+        at = np.minimum(np.searchsorted(known, name, sorter=order), max(len(known) - 1, 0))
+        pages = np.where(known[order[at]] == name, totals.column("pages").to_numpy()[order[at]], 0) if len(known) else np.zeros_like(pages)
+    many = strength(stream, n, start, length, pages).tolist()
+    out: dict[str, list] = {k: [] for k in types.names}
+    cuts = np.flatnonzero(np.r_[True, page[1:] != page[:-1], True]).tolist()
+    for a, b in zip(cuts, cuts[1:]):
+        kinds, labels = rows["node_type"][a:b], [(x or "").strip() for x in rows["label"][a:b]]
+        texts = rows["text"][a:b]
+        verdict, evidence, trains = page_verdicts(kinds, rows["node_level"][a:b], labels, texts, many[a:b], rows["of"][a])
+        for j in range(b - a):
+            words = " ".join(_tokens(labels[j] or texts[j] or ""))
             out["kind"].append("row" if labels[j] else kinds[j])
-            out["key"].append(key_of(labels[j])[:200] if labels[j] else keys[a + j])
-            out["verdict"].append(verdict[j])
-            out["evidence"].append(evidence[j])
-            out["cover"].append(cover[a + j])
-        a = b
-    types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.bool_(), pa.float64())
-    return pa.table([pa.array(v, t) for v, t in zip(out.values(), types)], names=list(out))
+            out["key"].append(_digest(words) if words else None)
+            out["words"].append(words if trains[j] is not None or verdict[j] == PROSE else None)
+        out["node_id"] += rows["node_id"][a:b]
+        out["page_id"] += rows["page_id"][a:b]
+        out["verdict"] += verdict
+        out["evidence"] += evidence
+        out["trains"] += trains
+    return pa.table(out, schema=types)
 
 
-def verdicts(page_nodes: DataFrame, fetch_log: DataFrame) -> DataFrame:
-    """(node_id, page_id, kind, key, verdict, evidence, cover) of every node, site by site in shards of pages.
+def verdicts(page_nodes: DataFrame, fetch_log: DataFrame, *, shard_chars: int = SHARD_CHARS) -> DataFrame:
+    """(node_id, page_id, kind, key, verdict, evidence, trains, words) of every node, site by site.
 
     A site is the publisher of a page's fetches, or the host of its url; pages without a fetch form a site of their
-    own. A site of any size is split into shards of about SHARD_PAGES pages, so no task holds more than that.
+    own. A site of more than shard_chars characters is spread over shards by the hash of its pages. Substrings that
+    are repeated in some shard are then counted in all of them, so page counts do not depend on the shards.
     """
     ship_package(page_nodes.sparkSession)
     site = F.coalesce(F.col("publisher"), F.regexp_extract("url", r"https?://([^/]+)", 1))
     sites = fetch_log.where("page_id is not null").groupBy("page_id").agg(F.min(site).alias("site"))
     nodes = page_nodes.where("node_id is not null and page_id is not null").select("node_id", "page_id", "node_order", "node_type", "node_level", "label", "text").dropDuplicates(["node_id"])
-    pages = nodes.select("page_id").distinct().join(sites, "page_id", "left").withColumn("site", F.coalesce("site", F.lit("")))
-    sizes = pages.groupBy("site").agg(F.count("*").alias("n"))
-    placed = pages.join(sizes, "site").withColumn("shard", F.pmod(F.xxhash64("page_id"), F.ceil(F.col("n") / SHARD_PAGES)).cast("int")).select("page_id", "site", "shard")
+    pages = nodes.groupBy("page_id").agg(F.sum(F.coalesce(F.length("text"), F.lit(0)) + 1).alias("chars")).join(sites, "page_id", "left").withColumn("site", F.coalesce("site", F.lit("")))
+    sizes = pages.groupBy("site").agg(F.count("*").alias("of"), F.ceil(F.sum("chars") / shard_chars).cast("int").alias("shards"))
+    placed = pages.join(sizes, "site").select("page_id", "site", "of", "shards", F.pmod(F.xxhash64("page_id"), F.col("shards")).cast("int").alias("shard"))
+    placed = checkpointed(placed)
+    all_rows = nodes.join(placed, "page_id").select("site", "shard", "shards", *_IN)
 
     def run(table):
-        from tarn.llm.boilerplate import _shard
+        from tarn.llm.boilerplate import _judged
+
+        return _judged(table, None)
+
+    whole = all_rows.where("shards = 1").groupBy("site", "shard").applyInArrow(run, _OUT)
+    split = placed.where("shards > 1").select("site", "shard").distinct()
+    if not split.limit(1).count():
+        return whole
+    rows = all_rows.where("shards > 1")
+
+    def candidates(key, table):
+        from tarn.llm.boilerplate import _frequent
+
+        found = _frequent(table)
+        return found.add_column(0, "site", pa.array([key[0].as_py()] * found.num_rows, pa.string()))
+
+    def counts(key, table, names):
+        from tarn.llm.boilerplate import _counted
+
+        found = _counted(table, names)
+        return found.add_column(0, "site", pa.array([key[0].as_py()] * found.num_rows, pa.string()))
+
+    def judge(key, table, totals):
+        from tarn.llm.boilerplate import _judged
+
+        return _judged(table, totals)
+
+    names = rows.groupBy("site", "shard").applyInArrow(candidates, "site string, name bigint").distinct()
+    asked = names.join(split, "site").groupBy("site", "shard")
+    counted = rows.groupBy("site", "shard").cogroup(asked).applyInArrow(counts, "site string, name bigint, pages bigint")
+    totals = counted.groupBy("site", "name").agg(F.sum("pages").alias("pages"))
+    return whole.unionByName(rows.groupBy("site", "shard").cogroup(totals.join(split, "site").groupBy("site", "shard")).applyInArrow(judge, _OUT))
 
-        return _shard(table)
 
-    return nodes.join(placed, "page_id").groupBy("site", "shard").applyInArrow(run, _OUT)
+def _triples(words: str = "words"):
+    w = F.split(words, " ")
+    return F.array_distinct(F.when(F.size(w) > 2, F.transform(F.sequence(F.lit(1), F.size(w) - 2), lambda i: F.xxhash64(F.concat_ws(" ", F.slice(w, i, 3))))).otherwise(F.array().cast("array<bigint>")))
 
 
-def boilerplate_nodes(page_nodes: DataFrame, fetch_log: DataFrame) -> DataFrame:
+def boilerplate_nodes(page_nodes: DataFrame, fetch_log: DataFrame, *, shard_chars: int = SHARD_CHARS) -> DataFrame:
     """(node_id) of the nodes that are not main body.
 
     A label and value under a side heading is boilerplate only if its label stands there on most pages (SEEN at least).
-    Nodes of empty text count as boilerplate where they stand before or after all content. Repeated rows count once;
-    rows without node_id or page_id are left out; null texts, labels and levels are read as empty; extra columns are
-    not read; an empty input gives an empty result.
+    Repeated rows count once; rows without node_id or page_id are left out; null texts, labels and levels are read as
+    empty; extra columns are not read; an empty input gives an empty result.
     """
-    seen = filled(verdicts(page_nodes, fetch_log))
-    judged = seen.where((F.col("verdict") == OPEN) | F.col("kind").isin("list_item", "row") & (F.col("verdict") != MAIN) | (F.col("kind") == "row"))
-    stats = judged.where("key <> ''").groupBy("kind", "key").agg(F.count("*").alias("n"), F.avg((F.col("evidence") | (F.col("verdict") == SURE)).cast("double")).alias("share")).where(F.col("n") >= SEEN)
-    open_nodes = seen.where(F.col("verdict") == OPEN).join(stats, ["kind", "key"], "left")
-    settled = open_nodes.where(F.coalesce(F.col("share") >= SHARE, F.col("evidence") & (F.col("kind") != "row"))).select("node_id")
-    return seen.where(F.col("verdict") == SURE).select("node_id").unionByName(settled).distinct()
+    seen = checkpointed(verdicts(page_nodes, fetch_log, shard_chars=shard_chars))
+    # prose by its word triples; the triples kept number at most the mean of a text over BANK
+    texts = seen.where("trains is not null and words is not null").groupBy("key").agg(F.max("trains").alias("trains"), F.min("words").alias("words"))
+    texts = checkpointed(texts.select("trains", _triples().alias("g")))
+    total = {r.trains: r.n for r in texts.groupBy("trains").agg(F.count("*").alias("n")).collect()}
+    least = max(2, BANK * total.get(1, 0))
+    template = texts.where("trains = 1").select(F.explode("g").alias("g")).groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    own = texts.where("trains = 0").select(F.explode("g").alias("g")).join(F.broadcast(template.select("g")), "g").groupBy("g").agg(F.count("*").alias("m"))
+    bank = template.join(own, "g", "left").where(F.col("n") * (total.get(0, 0) + 1) > F.coalesce("m", F.lit(0)) * (total.get(1, 0) + 1)).select("g")
+    open_prose = seen.where(F.col("verdict") == PROSE).groupBy("key").agg(F.min("words").alias("words")).select("key", _triples().alias("_g"))
+    known = open_prose.select("key", F.size("_g").alias("size"), F.explode("_g").alias("g")).join(F.broadcast(bank), "g").groupBy("key").agg(F.count("*").alias("n"), F.first("size").alias("size"))
+    like_template = known.where(F.col("n") >= COVERED * F.col("size")).select("key")
+    by_words = seen.where(F.col("verdict") == PROSE).join(like_template, "key").select("node_id")
+    # entries, and prose that the words do not tell, by all their occurrences
+    stats = seen.where("key is not null").groupBy("kind", "key").agg(F.count("*").alias("n"), F.avg(F.col("evidence").cast("double")).alias("share")).where(F.col("n") >= SEEN)
+    entries = seen.where(F.col("verdict").isin(OPEN, PROSE)).join(stats, ["kind", "key"], "left")
+    settled = entries.where(F.coalesce(F.col("share") >= SHARE, F.col("evidence") & (F.col("kind") != "row") & (F.col("verdict") == OPEN))).select("node_id")
+    return seen.where(F.col("verdict") == SURE).select("node_id").unionByName(by_words).unionByName(settled).distinct()
 
 
 def main_body(page_nodes: DataFrame, fetch_log: DataFrame) -> DataFrame:

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 
 from tarn.llm import boilerplate as B
 
@@ -6,34 +7,43 @@ SCHEMA = "node_id long, page_id long, node_order int, node_type string, node_lev
 LOG = "page_id long, publisher string, url string"
 
 
-def naive(stream, page, pages):
-    least = max(B.PAGES, int(np.ceil(B.PAGES_SHARE * pages)))
-    out = [0] * len(stream)
-    for n in B.LENGTHS:
-        where = {}
-        for i in range(len(stream) - n + 1):
-            if page[i] == page[i + n - 1]:
-                where.setdefault(tuple(stream[i : i + n]), []).append(i)
-        for at in where.values():
-            if len({page[i] for i in at}) >= least:
-                for i in at:
-                    out[i : i + n] = [n] * n
-    return out
+def naive(symbol, page):
+    """(start, length) to the number of pages of each substring, by counting."""
+    spans = [(i, B.LONG) for i in range(len(symbol) - B.LONG + 1)]
+    marks = [i for i, x in enumerate(symbol) if x == 0]
+    spans += [(a, b - a + 1) for a, b in zip(marks, marks[1:]) if 3 <= b - a + 1 <= B.LONG + 1 and b - a + 1 != B.LONG]
+    spans = [(i, n) for i, n in spans if page[i] == page[i + n - 1]]
+    where = {}
+    for i, n in spans:
+        where.setdefault(tuple(symbol[i : i + n]), set()).add(page[i])
+    return {(i, n): len(where[tuple(symbol[i : i + n])]) for i, n in spans}
 
 
 def test_suffix_array_equals_counting():
     r = np.random.default_rng(0)
-    stream, page = [], []
+    symbol, page = [], []
     shared = r.integers(0, 9, 40).tolist()
     for p in range(12):
         own = r.integers(0, 30, 30).tolist()
         a = int(r.integers(0, 20))
-        tokens = [-p - 1, *own[:15], *shared[a : a + int(r.integers(5, 20))], *own[15:]]
-        stream += tokens
+        tokens = [0, *own[:15], *shared[a : a + int(r.integers(5, 20))], 0, 3, 0, 7, 8, 0, *own[15:]]
+        symbol += tokens
         page += [p] * len(tokens)
-    got = B.repeats(np.array(stream), np.array(page), 12)
-    assert got.tolist() == naive(stream, page, 12)
-    assert len(B.repeats(np.empty(0, np.int64), np.empty(0, np.int64), 0)) == 0
+    symbol, page = np.array(symbol), np.array(page)
+    start, length, pages = B.substrings(symbol, page)
+    assert {(i, n): m for i, n, m in zip(start.tolist(), length.tolist(), pages.tolist())} == naive(symbol.tolist(), page.tolist())
+    names = r.integers(1, 1 << 60, 40).astype(np.uint64)
+    name = B.named(symbol, names, start, length)
+    texts = {}
+    for i, n, x in zip(start.tolist(), length.tolist(), name.tolist()):
+        assert texts.setdefault(x, tuple(symbol[i : i + n])) == tuple(symbol[i : i + n])
+    assert not len(B.substrings(np.empty(0, np.int64), np.empty(0, np.int64))[0])
+
+
+def test_stream_marks_nodes_and_separators():
+    stream = B.Stream(["Home > Funds", None, "मेनू 12", ""], np.array([0, 0, 1, 1]))
+    assert (stream.symbol == 0).tolist() == [True, False, True, False, True, True, False, False, True, True]
+    assert stream.page.tolist() == [0, 0, 0, 0, 0, 1, 1, 1, 1, 1] and stream.node.tolist() == [-1, 0, -1, 0, -1, -1, 2, 2, -1, -1]
 
 
 def site(pages=12):
@@ -76,6 +86,50 @@ def test_site(spark):
     assert len(body) == 12 and body[3].n_nodes == 6 and body[3].body.startswith("Fund number 3")
 
 
+def test_shards_change_nothing(spark):
+    rows, bad = site(40)
+    nodes, log = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([(p, "House", "x") for p in range(40)], LOG)
+    assert {r.node_id for r in B.boilerplate_nodes(nodes, log, shard_chars=6_000).collect()} == bad
+    columns = ("node_id", "verdict", "evidence", "trains")
+    want = sorted(tuple(r) for r in B.verdicts(nodes, log).select(*columns).collect())
+    assert sorted(tuple(r) for r in B.verdicts(nodes, log, shard_chars=6_000).select(*columns).collect()) == want
+
+
+def test_the_array_decides(spark, monkeypatch):
+    rows, bad = site()
+    table = pa.table({k: [r[i] for r in rows] for i, k in ((0, "node_id"), (1, "page_id"), (2, "node_order"), (3, "node_type"), (4, "node_level"), (5, "label"), (7, "text"))} | {"of": [12] * len(rows)})
+    sure = lambda: {r["node_id"] for r in B._judged(table, None).to_pylist() if r["verdict"] == B.SURE or (r["evidence"] and r["verdict"] == B.OPEN)}
+    assert sure() == bad
+    monkeypatch.setattr(B, "substrings", lambda symbol, page: (np.empty(0, np.int64),) * 3)
+    assert len(sure()) < len(bad) / 10
+
+
+def test_notices_in_any_words_and_prompts_among_the_text(spark):
+    """Prose of the template is known by its word triples where its own wording is rare; own prose on many pages stays."""
+    parts = [("A short zib helps the blue wex to load", "faster on every visit.", "when you come back here."), ("The qum of this plox keeps a small nim", "on your machine for now.", "until the day is over.")]
+    rows, bad = [], set()
+    r = np.random.default_rng(4)
+    own = lambda: " ".join("".join(r.choice(list("abcdefghij"), 5)) for _ in range(12)) + "."
+    for p in range(60):
+        add = lambda kind, text, boil, level=None: (rows.append((len(rows), p, len(rows), kind, level, None, None, text, "x")), boil and bad.add(len(rows) - 1))
+        for m in ("Home page", "Our funds", "Contact desk"):
+            add("list_item", m, True)
+        head = parts[p % 2]
+        if p % 3:
+            add("paragraph", f"{head[0]} {head[1 + p % 4 // 2]}", True)
+        add("heading", f"Fund {'abcdefghij'[p % 10]}{'klmnop'[p // 10]}", False, 1)
+        add("paragraph", own(), False)
+        if p % 12 == 0:
+            add("paragraph", f"{head[0]} {head[2]}", True)
+        if p % 5 == 0:
+            add("paragraph", "The registrar keeps the paper for eight years and then burns it.", False)
+        add("paragraph", own(), False)
+        for m in ("Privacy policy", "Terms of use", "Site map"):
+            add("list_item", m, True)
+    nodes, log = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([(p, "House", "x") for p in range(60)], LOG)
+    assert {r.node_id for r in B.boilerplate_nodes(nodes, log).collect()} == bad
+
+
 def test_odd_tables(spark):
     log = spark.createDataFrame([], LOG)
     assert B.boilerplate_nodes(spark.createDataFrame([], SCHEMA), log).count() == 0
