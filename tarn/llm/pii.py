@@ -1,37 +1,47 @@
 """Personal items in free text, by a skip-chain conditional random field.
 
 Every token gets one of O and the begin and inside of five kinds. The chain's scores come from the forms of the
-token and its neighbours and from patterns that propose e-mails, numbers and addresses; its weights are fitted on
-invented texts (`invented`). Tokens of a text that repeat or resemble each other share potentials: after a pass over
-the chain they send each other messages, and the pass is repeated. Spans of the patterns are settled exactly:
-what the field accepts is cut to the whole proposal.
+token and its neighbours, from whether a public vocabulary knows the word, and from patterns that propose e-mails,
+numbers and addresses. Tokens of a text that repeat or resemble each other share potentials: where a pass over the
+chain labels one of them, they send each other messages along these skip edges, and the pass is repeated. Spans that
+agree with a pattern are settled to the pattern's exact ends; the field may also label spans that no pattern proposes.
+
+The weights are fitted on invented texts (`invented`; `python -m tarn.llm.pii` writes them to WEIGHTS). Nothing depends
+on the other texts of the input, so a text is masked alike in every table.
 """
 
 from __future__ import annotations
 
+import hashlib
+import os
 import random
 import re
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tarn.llm.bpe import VOCABULARY, load_ranks
 from tarn.session import ship_package
 
 KINDS = ("person", "email", "phone", "id_number", "address")
 STATES = ["O"] + [f"{p}-{k}" for k in KINDS for p in "BI"]
 REACH = 4
-#: A word is common if it stands in so many texts, and in this share of all texts.
-COMMON_TEXTS, COMMON_SHARE = 3, 0.001
 #: Weight of a skip edge, rounds of messages, and letters two names must share to be alike.
-SKIP_WEIGHT, ROUNDS, ALIKE = 2.0, 2, 5
-#: Token forms a worker remembers.
-REMEMBERED = 60_000
+SKIP_WEIGHT, ROUNDS, ALIKE = 3.0, 2, 4
+#: Token forms a worker remembers, and tokens that are decoded at once.
+REMEMBERED, BATCH_TOKENS = 60_000, 200_000
+#: The fitted weights.
+WEIGHTS = os.path.join(os.path.dirname(os.path.abspath(__file__)), "pii_weights.npz")
+#: Texts and rounds of the fit.
+FIT_TEXTS, FIT_ROUNDS = 5_000, 10
 
-TOKEN = re.compile(r"[^\W\d_]+|\d+|\S")
+TOKEN = regex.compile(r"[\p{L}\p{M}]+|\d+|\S")
 
 _AT = r"(?:\s?@\s?|\s?[\[(]\s?at\s?[\])]\s?|\sat\s)"
 _DOT = r"(?:\.|\s?[\[(]\s?dot\s?[\])]\s?|\sdot\s)"
@@ -57,6 +67,14 @@ _DIGIT_AT = re.compile(r"[\d@]|\bat\b|\[at|\(at", re.I)
 STREETS = ("street", "road", "lane", "marg", "nagar", "colony", "rd", "st", "block", "sector", "floor", "cross", "heights", "apartments", "towers", "residency", "society", "layout", "avenue", "circle", "chowk", "gali")
 
 
+# Titles that are no part of a name.
+TITLES = frozenset("mr mrs ms miss dr prof shri smt sri kumari mx er adv sir madam".split())
+# Words that stand in no name.
+NO_NAMES = frozenset("the a an in of at on to for from by and or is are was were be has have had with not no".split())
+# Words that close the name of a company, scheme or index.
+CLOSING = frozenset("fund funds plan trust scheme index composite bank ltd limited amc cap tr tri".split())
+
+
 def tokenised(text: str) -> tuple[list[str], list[int], list[int]]:
     words, starts, ends = [], [], []
     for m in TOKEN.finditer(text):
@@ -77,108 +95,370 @@ def proposals(text: str) -> list[tuple[int, int, str]]:
 
 _SYLLABLES = "ba be bo da de du fa fi ga go ha hi ja jo ka ke ki la le lo ma me mu na ni no pa pe ra re ro sa se so ta te to va vi ya yo za".split()
 _TAILS = "rov lin mand dell var nath kars tian gupt shek wen dose barg hill mont".split()
-# Invented carriers of the training texts; {} stands for the item.
-_HEADS_TO_NAME = ["Regards, {}.", "Yours, {}", "Thanks, {}.", "Please speak to {} about this:", "Please call {} about it.", "I am {}, ", "My name is {} and ", "This is {}.", "This is {} from the office, ", "I hold units jointly with {};", "I hold units jointly with {}.", "my wife {} wants to know:", "my husband {} wants to know:", "my father {} asked.", "Mr. {} asked me this:", "Mrs. {} asked me this:", "Ms {} called.", "Dr {} signed the form, but ", "Dr. {} signed it.", "Shri {} came.", "Nominee: {}.", "Nominee: {};", "{} here.", "{} asked me this:", "{} wants to know:", "Holder: {},", "Signed by {} on Monday.", "- {}"]
-_NUMBER = {
-    "phone": ["Call me on {}.", "WhatsApp {}:", "Ph: {} /", "Phone {};", "OTP did not come to {}.", "my number is {},", "reach me at {} after work,", "Mobile no. {}.", "contact {} please.", "({})", "{} is my number."],
-    "id_number": ["PAN:{};", "My PAN is {},", "pan {} not verified -", "Permanent account no. {}.", "Aadhaar {} is linked.", "aadhar number {};", "UID no. {},", "Passport {} expired.", "passport no {};", "driving licence: {};", "licence {}.", "identity number: {};", "KYC id {} was rejected.", "the papers of {} are with you.", "({})", "my id is {}.", "I gave {} as proof,", "I gave {}", "DL No {},", "id proof {} is attached."],
-    "email": ["Write to {}.", "Send the statement to {} please.", "Registered id {};", "reply: {} -", "my email is {},", "e-mail {}.", "({})", "mail me at {} today.", "{} is my mail."],
-    "address": ["I live at {}.", "Send the cheque to {}.", "Courier it to {}.", "moved from {} last year;", "address changed to {},", "My address: {}.", "visit {} please.", "Deliver to {}."],
+
+# Invented carriers of the training texts, one in a line; {} stands for the item.
+_TO_NAME = """Sincerely, {}
+Kind regards, {}.
+Regards {}
+Best wishes, {}
+Many thanks, {}.
+With love, {}
+Yours truly, {}
+- {}
+{} here.
+{} speaking,
+I am {}, and
+I am {} and
+I'm {}.
+My name is {}.
+my name is {}, so
+mera naam {} hai,
+main {} hoon.
+This is {} calling.
+This is {} from the shop,
+Name: {}
+Name - {},
+Owner: {};
+Applicant: {}.
+Nominee: {}.
+Guardian: {}
+Payee: {}.
+Tenant: {}
+Witness: {};
+Guest - {},
+Mr. {} rang twice.
+Mr {} is late.
+Mrs. {} wrote:
+Ms {} left.
+Ms. {} agrees:
+Dr. {} was kind.
+Dr {} read the letter, but
+Prof. {} teaches there.
+Shri {} bought it.
+Smt. {} lives here.
+my aunt {} thinks so:
+my uncle {} came too.
+my sister {} likes it,
+my wife {} drives.
+my husband {} is away,
+my father {} cooks;
+my mother {} asked:
+our tenant {} pays
+my colleague {} wants to know:
+please ask {} about it.
+Please thank {} for me.
+Please talk to {} first,
+speak with {} on Friday.
+call {} later.
+I share the flat with {};
+I went there with {}.
+We travel together with {},
+The key is with {}.
+met {} at noon.
+on behalf of {},
+signed by {} in ink.
+written by {} last night.
+{} asked me this:
+{} wants to know:
+{} told us.
+{} said no,
+Attention {},
+care of {}
+heir: {}.
+Contact person {}."""
+#: Carriers of a name that say little by themselves.
+_WEAK = """{} came later.
+then {} left the room.
+and {} as well.
+After that {} paid.
+so {} waits
+with {} or without."""
+_TO_ITEM = {
+    "phone": "Ring me at {}.|My mobile is {},|mobile {};|cell: {} -|Tel. {}|telephone {},|text {} after six.|The call from {} was cut.|no message came to {}.|landline {}|dial {} please.|fax {};|number: {}.|you can get me on {} at night,|({})|{} is where I can be reached.|Mob: {} /|WA {}:|so {} it is.|{} again|of {} too,|WhatsApp {},|whatsapp {}:|Ph. {} -|Ph: {} /|ping {}",
+    "id_number": "Tax id {}.|tax number: {};|PAN {} is wrong.|pan card {},|My pan is {} -|Aadhaar no {}.|Aadhaar {} matches.|aadhaar {} was seen,|aadhaar: {};|UIDAI {} please check.|National id {},|identity card {}.|Passport {} is lost.|passport number: {};|travel papers {} were stamped,|licence no. {}.|driving permit {} has lapsed.|DL {};|KYC with {} failed.|my card {} was copied.|({})|so {} it is.|the copy of {} is here.|{} again|of {} too,|the number on my card is {}.|proof: {}|I showed {} at the gate,|I handed in {} as proof,|verified against {} -",
+    "email": "Mail {}.|my mail is {},|e-mail: {};|send the file to {} please.|answer to {} -|({})|so {} it is.|{} again|of {} too,|The address {} bounced.|you find me at {} too,|account {}|login {};|inbox {}|cc {} please,|contact {} for more.",
+    "address": "We live at {}.|Ship it to {}.|Send the box to {}.|post it to {},|The parcel went to {} instead.|I moved out of {} in spring;|moved to {}.|home: {};|residence {}.|my new home is {},|come to {} at noon.|The house at {} is sold.|delivered to {}.|Address: {}|so {} it is.|{} again|of {} too,|billing address {} -",
 }
-_PLAIN = """What is the exit load of {f}? | How much is the expense ratio of {f}? | Should I put Rs {a} in {f}? | Does {f} accept ₹{a} a month | Who can change the nominee? | How do I download the statement?
-Will {f} beat {i}? | Tell me the AUM of {f} | Is {f} locked for {n} months? | What was the NAV of {f} on {n} March {y}? | Which index does {f} follow? | {f} and {f} look alike. | {i} fell {p}% in {y}.
-Ask the Grievance Cell at {h}. | {t} branch, counter {n}. | The app is on v{n}.{n}.{a3}.{n} now. | The quote {d5}.{d5} looks odd. | The order came to {lakh} rupees. | Circular ABC/DF/{a3}/{y} applies. | Form {n}B is needed.
-The {c} note by {h} is old. | Ticket {a3}-{a3}-{n} is open. | Window {n}:30-{n}:30 is too short. | ISIN INX{n}K{d5}. | Batch {y}-{n}-{a4} of {n} May {y} failed. | My portfolio is worth ₹{lakh}. | Read @{h} handle notes.
-I hold {lakh} units. | {h} Asset Management wrote on {n} April {y}. | Step {n} of {a3} hangs at {p}%. | Cut-off is {n}:15 am. | NAV ₹{a3}.{n}{n} on {n} June {y}. | Hello team. | Hi, | Namaste, | Dear sir, | pls help!
-SIP ka paisa {n} din mein units de deta hai kya? | Meri wife ka account nominee free mein add karta hai kya? | Yeh scheme {p}% ka exit load leti hai kya? | Registrar ka office statement email pe bhej deta hai kya?
-The {w} revises the older cost sheet sent to {t} before the audit. | The {w} quotes the value per unit at ₹{a3}.{a4} for holders in {t}. | A {w} checks the printed switch form over {a3} pages at {n}:45 pm. | Order no. {d5}{a3} was booked.
-A first-time saver tests the nominee register dated {n} March {y} behind {i}. | {h} Asset Management merges the dealing log above Rs. {a} | Folio {d5}{a4}/{n} is old. | Reference {d5}{a3} is noted. | Toll {y} | Until {y}, the {w} waits.
-While the {w} is in {t}, a joint holder agrees. | {t}, {t} and {t} have branches. | {f}: {p}% | Fund size: {lakh} crore | Benchmark: {i} | In the name of the first holder, {n} forms | {h} House is closed. | Write to the Grievance Cell. | This is a scheme of {h}. | Riskometer: Very High | Risk level: MODERATELY HIGH | RISK GRADE: LOW TO MODERATE
-Risk level :: VERY HIGH | Benchmark: PALASH SMALL CAP 250 TRI | ## Gilt | ## ELSS | Fund manager: not disclosed | NIL | LOCK IN PERIOD: NIL | coming soon | Star rating: {n} stars | ISIN: INX{n}K{d5}""".replace("\n", " | ").split(" | ")
-
-
-def invented(count: int, seed: int = 7) -> list[tuple[str, list[tuple[int, int, str]]]]:
-    """Texts with their personal items, put together from carriers and invented names and numbers."""
-    r = random.Random(seed)
-    d = lambda n: "".join(r.choice("0123456789") for _ in range(n))
-    word = lambda a, b: "".join(r.choice(_SYLLABLES) for _ in range(r.randint(a, b)))
-    houses = [word(2, 3).capitalize() + r.choice(("moor", "vale", "bank", "field", "")) for _ in range(40)]
-    towns = [word(2, 3).capitalize() + r.choice(("pur", "gaon", "nagar", "")) for _ in range(40)] + ["Rawa East", "Madu West"]
-
-    def styled(s: str) -> str:
-        return r.choices((s, s.upper(), s.lower()), (8, 2, 1))[0]
-
-    def name() -> str:
-        given = word(2, 3).capitalize()
-        family = (word(1, 2) + r.choice(_TAILS)).capitalize()
+# Invented sentences without an item; names in braces are filled in.
+_PLAIN = """What does {f} cost?
+How much is the fee of {f}?
+Is {f} better than {f}?
+Should I buy {f} now?
+Will {f} beat {i}?
+{f} and {f} differ.
+{f} pays {p}% since {y}.
+The report of {f} came on {n} May {y}.
+Does {f} take ₹{a} a week?
+Does {c} need Rs {a}?
+Tell me more about {f}
+{c} opened a shop in {t}.
+{c} wrote to us on {n} April {y}.
+{c} is closed on Sunday.
+Ask the help desk at {c}.
+A note by {c} is out.
+The {w} at {c} was polite.
+Is {c} a good bank?
+{c} Asset Management sold it.
+{c} House is empty.
+{i} fell by {p}%.
+{i} rose in {y}.
+{i} ({p}%)
+It follows {i}.
+Measured against {i}, it lost.
+Index: {i}
+INDEX: {I}
+{t} office, desk {n}.
+The {t} office opens at {n}:30.
+From {t} to {t} by train.
+{t}, {t} and {t} are far.
+A customer from {t} waits.
+Rain in {t} again.
+Ticket {a3}-{a3}-{n} was closed.
+Receipt {a3}-{a4}-{n} is lost.
+Parcel no. {d5}{a3} is late.
+Order {d5}{a4} was sent.
+Invoice {d5}/{n} is due.
+Folder {d5}{a4}/{n} is full.
+Account {d5}{d5} was opened.
+Reference {d5}{d5} is noted.
+Notice AB/CD/{a3}/{y} is old.
+Form {n}C is needed.
+Batch {y}-{n}-{a4} of {n} June {y} failed.
+Code XY{a3}K{d5} is printed there.
+Product code ZQ{n}F{d5}.
+Version {n}.{n}.{a3}.{n} is slow.
+The value {d5}.{d5} is odd.
+The sum is {lakh} rupees.
+I own {lakh} shares.
+Worth ₹{lakh} today.
+Size: {lakh} crore
+Price ₹{a3}.{a4} on {n} July {y}.
+Open {n}:30-{n}:45 only.
+The gate shuts at {n}:15 pm.
+Step {n} of {a3} hangs at {p}%.
+Read the page of @{h} first.
+Between {y} and {y} little changed.
+Since {n} March {y} the {w} waits.
+On {n} August {y}, the {w} printed {a3} pages.
+Hello all.
+Hi there,
+Dear all,
+Good morning.
+Thank you so much!
+pls reply soon
+Is it free?
+Who can sign the form?
+How can I get the paper?
+When will it end?
+kya yeh sahi hai?
+mera paisa kab aayega?
+yeh {n} din mein ho jata hai kya?
+meri beti ka khata band ho gaya kya?
+office mein koi baat nahi karta kya?
+naya grahak bina form ke aage jata hai kya?
+{p}% se zyada kharch lagta hai kya?
+The {w} reads the old letter to the {w} in {t}.
+A {w} checks the list of {n} names by {n}:45 pm.
+While the {w} is in {t}, nobody signs.
+If the {w} agrees, a {w} counts {a3} boxes.
+Under the new rule, the {w} keeps {p}% in cash.
+The {w} quotes {p}% for {f}.
+Someone leaving {f} sold {n} units.
+A holder of {f} asks about {i}.
+The {w} of {f} paid ₹{a}.
+| {f} | {p}% | {lakh} |
+# {k}
+## {k} Notes
+Type: {k}
+TYPE: {K}
+Risk: {K}
+GRADE: {K}
+Grade - {K}
+Shade: {C} {w}
+level: {k} to {k}
+{f}: {p}%
+Period: {n} months
+nothing
+Not yet known
+In the first {n} days, {w} and {w} wait.
+The footer shows a date.
+The {w}'s {u} counts {n} boxes.
+A {w}'s {u} is late.
+After a late {u}, the {w} waits.
+Nobody reads the old {u} list.
+The {u} {w} sends a {u} to the {w}.
+with {u} {u} as the next block.
+on {u} and {u} alone.
+Each {u} has {n} {u} parts.
+The {w} {u}s the {u} for {y}.
+{w} ka {u} {u} hai kya?
+yeh {u} {u} karta hai kya?
+naya {u} {u} mein {u} hai kya?
+{U} {U}{n}K{d5}.
+{U} NO {U}{a3}L{d5}.
+{U}: {U} {U}
+{C}: not {u}
+{C} {C} Notes
+What is the {U} of {f}?
+The {U} rule of {y} holds.
+Since {C} left {t}, the {w} waits.
+हर महीने दुकान बंद रहती है और फिर खुलती है।
+₹{a} या अधिक पर {w} नया कागज़ देता है।
+पुराना कागज़ {n} दिन में मिलता है, {p}% कम।
+Together with {f}, the {w} waits.
+Along with {i}, it fell.
+Next to {f}, {f} looks small.
+The yearly list of {f} is out.
+The old price paper of {f} since {y}.
+A copy of {f} was sent to {t}, with {i} as its mark.
+Joined with {f} in {y}, it grew.
+with {f} and with {i} beside it
+The mark, {i}, fell again.
+Before noon, {f} paid the {w}.
+{f} sends the {u} to the {w}.
+Some {w}s {u} the {u} of {f}.
+A {w}'s {u} {u}s the old list for {t}.
+The {w}'s {u} reads it.
+The {w} sends the {u} {u} without a word.
+aapki {u} {w} se milti hai kya?
+aap ka {u} {w} kahan hai?
+direct {u} {w} free hai kya?
+Least sum: {U} {a}00
+{U} {lakh} only
+{p}/{a3}.{n}/{a3}.{p}/{n}.{n}/{a3}.{n}
+Why so slow?"""
+
+
+def _lines(text: str) -> list[str]:
+    return text.split("\n")
+
+
+class Maker:
+    """Invented names, addresses, mail addresses and numbers."""
+
+    def __init__(self, seed: int, vocabulary: list[str] = ()):
+        self.r = random.Random(seed)
+        self.vocabulary = list(vocabulary)
+        self.houses = [self.word(2, 3).capitalize() + self.r.choice(("moor", "vale", "bank", "field", "")) for _ in range(60)]
+        self.towns = [self.word(2, 3).capitalize() + self.r.choice(("pur", "gaon", "nagar", "", "")) for _ in range(60)] + [self.word(2, 3).capitalize() + " " + x for x in ("East", "West", "North", "South")]
+
+    def digits(self, n: int) -> str:
+        return "".join(self.r.choice("0123456789") for _ in range(n))
+
+    def word(self, least: int, most: int) -> str:
+        return "".join(self.r.choice(_SYLLABLES) for _ in range(self.r.randint(least, most)))
+
+    def styled(self, text: str) -> str:
+        return self.r.choices((text, text.upper(), text.lower()), (8, 2, 1.5))[0]
+
+    def person(self) -> str:
+        r = self.r
+        given, family = self.word(2, 3).capitalize(), (self.word(1, 2) + r.choice(_TAILS)).capitalize()
+        if self.vocabulary and r.random() < 0.12:  # names that are words of the language
+            family = r.choice(self.vocabulary).capitalize()
         middle = f" {r.choice('ABDKLMNPRSTV')}." if r.random() < 0.2 else ""
-        return styled(f"{given}{middle} {family}")
+        return self.styled(f"{given}{middle} {family}")
 
-    def email() -> str:
-        user = word(2, 4) + r.choice((".", "_", "-", "+", "")) + word(1, 3) + r.choice(("", "", d(2)))
-        parts = [*([word(1, 2)] if r.random() < 0.7 else []), word(2, 3), r.choice(("example", "test", "invalid", "com", "in"))]
-        at, dot = r.choices((("@", "."), (" @ ", "."), (" at ", " dot "), (" [at] ", " dot "), ("(at)", "(dot)")), (6, 1.5, 1, 1, 0.5))[0]
-        return styled(user + at + dot.join(parts))
+    def email(self) -> str:
+        r = self.r
+        user = self.word(2, 4) + r.choice((".", "_", "-", "+", "")) + self.word(1, 3) + r.choice(("", "", self.digits(2)))
+        parts = [*([self.word(1, 2)] if r.random() < 0.7 else []), self.word(2, 3), r.choice(("example", "test", "invalid", "com", "in", "org"))]
+        at, dot = r.choices((("@", "."), (" @ ", "."), (" at ", " dot "), (" [at] ", " [dot] "), ("(at)", "(dot)"), (" (at) ", " [dot] ")), (6, 1.5, 1, 1, 0.5, 0.5))[0]
+        return self.styled(user + at + dot.join(parts))
 
-    def phone() -> str:
+    def phone(self) -> str:
+        r, d = self.r, self.digits
         lead = r.choice("6789")
-        body = r.choice((lead + d(9), lead + d(4) + " " + d(5), lead + d(2) + "-" + d(3) + "-" + d(4), lead + d(3) + "." + d(3) + "." + d(3), " ".join((lead + d(1), d(2), d(2), d(2), d(2))), f"(0{d(2)}) {d(4)} {d(4)}"))
-        lead_in = "" if body[0] == "(" else r.choice(("", "0", "0", "+91 ", "+91-", "91 "))
-        if lead_in == "0" and len(body) != 10:
-            lead_in = ""
-        return r.choice((lead_in + body, lead_in + body, f"+91 ({lead}{d(3)}) {d(3)}-{d(3)}"))
-
-    def id_number() -> str:
+        body = r.choice((lead + d(9), lead + d(4) + " " + d(5), lead + d(2) + "-" + d(3) + "-" + d(4), lead + d(3) + "." + d(3) + "." + d(3), " ".join((lead + d(1), d(2), d(2), d(2), d(2))), f"(0{d(2)}) {d(4)} {d(4)}", f"({lead}{d(3)}) {d(3)}-{d(3)}"))
+        before = "" if body.startswith("(0") else r.choice(("", "", "+91 ", "+91-", "91 ", "0"))
+        if before == "0" and len(body) != 10:
+            before = ""
+        return before + body
+
+    def odd_phone(self) -> str:
+        """A form that no pattern proposes."""
+        d = self.digits
+        return self.r.choice((f"{d(2)}-{d(4)}-{d(2)}-{d(2)}", f"{d(3)}/{d(3)}/{d(4)}", f"+{d(2)} {d(2)} {d(3)} {d(2)} {d(2)}", f"{d(4)}-{d(2)}-{d(2)}-{d(2)}"))
+
+    def id_number(self) -> str:
+        r, d = self.r, self.digits
         letters = lambda n: "".join(r.choice("ABCDEFGHJKLMNPQRSTUVWXYZ") for _ in range(n))
         gap = r.choice(("", "", "", " ", "-", "."))
         x = r.choice((letters(5) + d(4) + letters(1), f"{letters(5)} {d(4)} {letters(1)}", gap.join((d(4), d(4), d(4))), letters(1) + d(7), f"{letters(1)} {d(7)}", f"{letters(2)}{d(2)} {d(11)}", f"{letters(2)}{d(2)}-{d(11)}", letters(2) + d(13)))
-        return x.lower() if r.random() < 0.1 else x
+        return x.lower() if r.random() < 0.15 else x
 
-    def address() -> str:
-        number = r.choice((d(3), d(2), d(3) + "/2", d(3) + "B"))
+    def address(self) -> str:
+        r = self.r
+        number = r.choice((self.digits(3), self.digits(2), self.digits(3) + "/2", self.digits(3) + "B"))
         start = r.choice(("Flat ", "Flat No. ", "Plot ", "House ", "House No ", "Door No. ", "Apt ", "H.No. ", "#", "", ""))
-        street = " ".join((*(word(2, 3).capitalize() for _ in range(r.randint(1, 2))), r.choice(STREETS[:8]).capitalize()))
-        extra = r.choice((["Block C"], ["Ground Floor"], ["Sector 14"], [word(2, 3).capitalize() + " Towers"], [word(2, 3).capitalize() + " Apartments"], [], [], []))
-        pin = r.choice(("", " " + d(6), " - " + d(6), f" {d(3)} {d(3)}"))
-        return f"{start}{number}{r.choice((', ', ' ')) if not extra else ', '}{', '.join([*extra, street])}, {r.choice(towns)}{pin}"
-
-    make = {"phone": phone, "id_number": id_number, "email": email, "address": address}
-
-    def plain() -> str:
-        out = r.choice(_PLAIN)
-        fund = lambda: f"{r.choice(houses)} {r.choice(('Large Cap', 'Gilt', 'ELSS', 'Liquid', 'Index', 'Short Duration', 'Multi Asset'))} Fund"
-        values = {"{f}": fund, "{h}": lambda: r.choice(houses), "{t}": lambda: r.choice(towns), "{i}": lambda: r.choice(("Merid 100", "Palash 500 TRI", "Orrin Liquid Index A-I", "Sutlej Short Debt Index")), "{a}": lambda: r.choice((d(3), "1,000", "75,150", "25,000")), "{a3}": lambda: d(3), "{a4}": lambda: d(4), "{d5}": lambda: r.choice("123456789") + d(4), "{n}": lambda: str(r.randint(1, 30)), "{y}": lambda: str(r.randint(2005, 2027)), "{p}": lambda: f"{r.randint(0, 9)}.{d(2)}", "{lakh}": lambda: r.choice(("12,34,567.89", "1,23,45,678", "1,13,606.47", "90,284.97")), "{c}": lambda: r.choice(("Index Opportunities", "Focused Growth", "Income Ideas")), "{w}": lambda: r.choice(("clerk", "registrar", "manager", "trustee company", "tax note", "help page", "saver"))}
+        street = " ".join((*(self.word(2, 3).capitalize() for _ in range(r.randint(1, 2))), r.choice(STREETS[:8]).capitalize()))
+        extra = r.choice((["Block C"], ["Ground Floor"], ["Sector 14"], [self.word(2, 3).capitalize() + " Towers"], [self.word(2, 3).capitalize() + " Apartments"], [], [], []))
+        pin = r.choice(("", " " + self.digits(6), " - " + self.digits(6), f" {self.digits(3)} {self.digits(3)}"))
+        return f"{start}{number}{r.choice((', ', ' ')) if not extra else ', '}{', '.join([*extra, street])}, {r.choice(self.towns)}{pin}"
+
+    def plain(self) -> str:
+        r, d = self.r, self.digits
+        out = r.choice(_lines(_PLAIN))
+        kinds = ("Equity", "Bond", "Large Value", "Cash", "Mixed Asset", "Growth", "Short Term", "Small Company", "Gold", "Focus")
+        unknown = lambda: self.word(2, 3) + r.choice(("", "", r.choice(_TAILS)))
+        index = lambda: r.choice((f"{r.choice(self.houses)} {r.choice((20, 75, 300))}", f"{r.choice(self.houses)} {r.choice((40, 300))} TR", f"{r.choice(self.houses)} {r.choice(('Bond', 'Cash', 'Composite', 'Small', 'Low Risk'))} Index", f"{r.choice(self.houses)} {r.choice(('Mixed 40+60', 'Low Risk 20', 'Value 75'))} {r.choice(('Index', 'TR'))}", f"{r.choice(self.houses)} {r.choice(('Cash Index B', 'Bond Composite', '20 (Net Index)'))}", f"{r.choice(self.houses)} {unknown().capitalize()} {r.choice(('Composite', 'Index', '75 TR', '(Net Index)'))}"))
+        fund = lambda: f"{r.choice(self.houses)} {r.choice(('', '', r.choice(('Lane ', 'Hill '))))}{r.choice((r.choice(kinds), r.choice(kinds), self.styled(unknown().capitalize()), unknown().capitalize() + ' ' + r.choice(('Cap', 'Asset', 'Term'))))} {r.choice(('Fund', 'Fund', 'Fund', 'Plan', 'Trust', ''))}".strip()
+        values = {"{u}": unknown, "{U}": lambda: unknown()[: r.randint(3, 6)].upper(), "{C}": lambda: unknown().capitalize(), "{f}": fund, "{c}": lambda: r.choice(self.houses) + r.choice(("", "", " Lane", " Bank", " Capital")), "{h}": lambda: r.choice(self.houses), "{t}": lambda: r.choice(self.towns), "{i}": index, "{I}": lambda: index().upper(), "{a}": lambda: r.choice((d(3), "1,500", "72,250", "40,000")), "{a3}": lambda: d(3), "{a4}": lambda: d(4), "{d5}": lambda: r.choice("123456789") + d(4), "{n}": lambda: str(r.randint(1, 30)), "{y}": lambda: str(r.randint(2005, 2027)), "{p}": lambda: f"{r.randint(0, 9)}.{d(2)}", "{lakh}": lambda: r.choice(("23,45,678.90", "2,34,56,789", "3,21,609.18", "71,408.55")), "{k}": lambda: r.choice(("High", "Very Low", "Moderate", *kinds)), "{K}": lambda: r.choice(("VERY LOW", "HIGH", "MIXED ASSET", "FAIRLY HIGH", "RATHER LOW", "Rather High", "MEDIUM TO HIGH")), "{w}": lambda: r.choice(("baker", "teacher", "printer", "driver", "gardener", "owner", "old plan", "reader", "tailor", "trust company", "tax paper", "visitor"))}
         for key, value in values.items():
             while key in out:
                 out = out.replace(key, value(), 1)
         return out
 
+
+def invented(count: int, seed: int = 7, vocabulary: list[str] = ()) -> list[tuple[str, list[tuple[int, int, str]]]]:
+    """Texts with their personal items, put together from carriers and invented names and numbers."""
+    m = Maker(seed, vocabulary)
+    r = m.r
     texts = []
     for _ in range(count):
         text, spans, known = "", [], []
+
+        def put(carrier: str, item: str, kind: str) -> None:
+            nonlocal text
+            before, after = carrier.split("{}")
+            spans.append((len(text) + len(before), len(text) + len(before) + len(item), kind))
+            text += before + item + after
+
         if r.random() < 0.25:
-            text = r.choice(("Hi, ", "Namaste, ", "Dear sir, ", "Hello team. ", "pls help! "))
+            text = r.choice(("Hey, ", "Good evening, ", "Dear team, ", "Hello all. ", "please reply! ", "Hi, "))
         for _ in range(r.randint(1, 5)):
             x = r.random()
-            if x < 0.5:
-                text += plain()
-            elif x < 0.66:
-                carrier, item = r.choice(_HEADS_TO_NAME), r.choice(known) if known and r.random() < 0.3 else name()
+            if x < 0.58:
+                text += m.plain()
+            elif x < 0.74:
+                again = known and r.random() < 0.3
+                item = r.choice(known) if again else m.person()
+                if again or r.random() < 0.06:
+                    put(r.choice(_lines(_WEAK)), item, "person")
+                else:
+                    carrier = r.choice(_lines(_TO_NAME))
+                    put(carrier if r.random() < 0.8 else carrier.lower().replace("{}", "{}"), item, "person")
                 known.append(item)
-                before, after = carrier.split("{}")
-                spans.append((len(text) + len(before), len(text) + len(before) + len(item), "person"))
-                text += before + item + after
             else:
                 kind = r.choice(("phone", "id_number", "email", "address"))
-                before, after = r.choice(_NUMBER[kind]).split("{}")
-                item = make[kind]()
-                spans.append((len(text) + len(before), len(text) + len(before) + len(item), kind))
-                text += before + item + after
+                item = m.odd_phone() if kind == "phone" and r.random() < 0.12 else getattr(m, kind)()
+                put(r.choice(_TO_ITEM[kind].split("|")), item, kind)
             text += r.choice((" ", " ", " ", "\n"))
         texts.append((text, spans))
     return texts
 
 
+@lru_cache(maxsize=2)
+def vocabulary(path: str = VOCABULARY) -> frozenset:
+    """The lower-case words that are single entries of a public vocabulary file."""
+    found = set()
+    for token in load_ranks(path):
+        word = token[1:].decode("utf-8", "replace")
+        if token[:1] == b" " and len(word) > 1 and word.isalpha():
+            found.add(word.lower())
+    return frozenset(found)
+
+
 # ---- the field -----------------------------------------------------------------------------------------------------
 
 
@@ -190,11 +470,21 @@ def shape(token: str) -> str:
             return "x1" if token.islower() else "X1"
         script = "" if token.isascii() else "?"
         return script + ("xx" if token.islower() else "XX" if token.isupper() else "Xx" if token[0].isupper() and token[1:].islower() else "xX")
-    return token if token.isascii() else "sign"
+    return token if token.isascii() else "?xx" if token[0].isalpha() else "sign"
+
 
+def is_known(low: str, words: frozenset) -> bool:
+    """The word, or its stem without an ending, stands in the vocabulary."""
+    if low in words:
+        return True
+    for ending in ("s", "es", "ed", "d", "ing", "ly", "er"):
+        if low.endswith(ending) and len(low) - len(ending) > 2 and low[: -len(ending)] in words:
+            return True
+    return low.endswith("ies") and low[:-3] + "y" in words or low.endswith(("ing", "ed")) and low.removesuffix("ing").removesuffix("ed") + "e" in words
 
-def features(token: str, lexicon: frozenset, common) -> list[str]:
-    """The features of a token's form."""
+
+def features(token: str, lexicon: frozenset, words: frozenset) -> list[str]:
+    """The features of a token's form; the last of an unknown word is `new:` and its shape."""
     out = ["s:" + shape(token)]
     if token.isalpha():
         low = token.lower()
@@ -202,9 +492,13 @@ def features(token: str, lexicon: frozenset, common) -> list[str]:
             out.append("w:" + low)
         if low in STREETS:
             out.append("street")
+        if low in TITLES:
+            out.append("title")
         if len(token) > 1:
-            out.append("known" if low in common or low in lexicon else f"new:{shape(token)}")
-    elif not token.isdigit():
+            out.append(f"known:{shape(token)}" if low in lexicon or is_known(low, words) else f"new:{shape(token)}")
+    elif token.isdigit():
+        out.append("digits" if len(token) < 6 else "long digits")
+    elif not token[0].isalpha():
         out.append("w:" + token)
     return out
 
@@ -248,32 +542,42 @@ def marginals(score: np.ndarray, move: np.ndarray, length: np.ndarray) -> tuple[
     return m, pairs
 
 
-@lru_cache(maxsize=1)
-def trained() -> dict:
-    """The weights, fitted on invented texts by adaptive gradient steps on the conditional likelihood."""
-    data = invented(1_800)
-    carriers = " ".join([*_HEADS_TO_NAME, *(c for x in _NUMBER.values() for c in x), *_PLAIN]).replace("{}", " ")
-    lexicon = frozenset(w.lower() for w in re.findall(r"[^\W\d_]+", re.sub(r"\{\w+\}", " ", carriers)))
+def fit() -> dict:
+    """The weights, fitted on invented texts by adaptive gradient steps on the conditional likelihood.
+
+    In a third of the texts the patterns' proposals are hidden, so that the field learns the forms themselves.
+    """
+    words = vocabulary()
+    data = invented(FIT_TEXTS, vocabulary=sorted(w for w in words if 4 < len(w) < 9))
     r = random.Random(3)
+    counts: dict[str, int] = {}
+    for text, spans in data:
+        for m in re.finditer(r"[^\W\d_]+", text):
+            if not any(a <= m.start() < b for a, b, _ in spans):
+                counts[m.group().lower()] = counts.get(m.group().lower(), 0) + 1
+    carriers = " ".join([*_lines(_TO_NAME), *_lines(_WEAK), *(c for x in _TO_ITEM.values() for c in x.split("|")), *_lines(_PLAIN)])
+    lexicon = frozenset(w.lower() for w in re.findall(r"[^\W\d_]+", re.sub(r"\{\w*\}", " ", carriers)) if counts.get(w.lower(), 0) > 9)
     forms: dict[str, int] = {}
     names: dict[str, int] = {}
     rows: list[list[int]] = []
-    common = lexicon | {w for text, spans in data for w in _outside(text, spans) if r.random() < 0.8}
     packed = []
     for text, spans in data:
-        words, starts, ends = tokenised(text)
+        tokens, starts, ends = tokenised(text)
         ids = []
-        for w in words:
-            if w not in forms:
-                forms[w] = len(rows)
-                rows.append([names.setdefault(f, len(names)) for f in features(w, lexicon, common)])
-            ids.append(forms[w])
-        gold = np.zeros(len(words), np.int64)
+        for w in tokens:
+            hidden = r.random() < 0.15  # the word itself is not seen
+            form = ("?" + w) if hidden else w
+            if form not in forms:
+                forms[form] = len(rows)
+                rows.append([names.setdefault(f, len(names)) for f in features(w, frozenset() if hidden else lexicon, words)])
+            ids.append(forms[form])
+        gold = np.zeros(len(tokens), np.int64)
         for a, b, kind in spans:
             first, last = np.searchsorted(starts, a), np.searchsorted(starts, b)
             gold[first:last] = 2 + 2 * KINDS.index(kind)
             gold[first] = 1 + 2 * KINDS.index(kind)
-        packed.append((np.array(ids), flag_columns(text, starts, ends), gold))
+        flags = flag_columns(text, starts, ends)
+        packed.append((np.array(ids), flags * (r.random() > 0.33), gold))
     matrix = np.zeros((len(rows) + 1, len(names)), np.float32)
     for i, row in enumerate(rows):
         matrix[i, row] = 1
@@ -285,8 +589,8 @@ def trained() -> dict:
     bias = np.zeros(s)
     speed = [np.full_like(x, 1e-3) for x in (w, flag, move, bias)]
     order = np.random.default_rng(1)
-    for _ in range(8):
-        for batch in np.array_split(order.permutation(len(packed)), 16):
+    for _ in range(FIT_ROUNDS):
+        for batch in np.array_split(order.permutation(len(packed)), 32):
             part = [packed[i] for i in batch]
             length = np.array([len(x[0]) for x in part])
             t = int(length.max())
@@ -313,19 +617,29 @@ def trained() -> dict:
             for x, g, v in zip((w, flag, move, bias), grads, speed):
                 v += g * g
                 x += 0.35 * g / np.sqrt(v)
-    return {"names": names, "w": w.astype(np.float32), "flag": flag.astype(np.float32), "move": move.astype(np.float32), "bias": bias.astype(np.float32), "lexicon": lexicon}
+    return {"stamp": np.array(stamp()), "names": np.array(list(names)), "w": w.astype(np.float16), "flag": flag.astype(np.float16), "move": move.astype(np.float16), "bias": bias.astype(np.float16), "lexicon": np.array(sorted(lexicon))}
 
 
-def _outside(text: str, spans: list) -> list[str]:
-    inside = [(a, b) for a, b, k in spans if k == "person"]
-    return [m.group().lower() for m in re.finditer(r"[^\W\d_]+", text) if not any(a <= m.start() < b for a, b in inside)]
+def stamp() -> str:
+    """A digest of what the fit depends on."""
+    return hashlib.sha256("\n".join([_TO_NAME, _WEAK, *_TO_ITEM.values(), _PLAIN, str((FIT_TEXTS, FIT_ROUNDS, REACH))]).encode()).hexdigest()
+
+
+@lru_cache(maxsize=1)
+def trained() -> dict:
+    """The stored weights; it is an error if they were fitted to other texts than the present ones."""
+    with np.load(WEIGHTS, allow_pickle=False) as stored:
+        if str(stored["stamp"]) != stamp():
+            raise ValueError("the invented texts have changed; run python -m tarn.llm.pii")
+        out = {k: stored[k].astype(np.float32) for k in ("w", "flag", "move", "bias")}
+        return out | {"names": {n: i for i, n in enumerate(stored["names"].tolist())}, "lexicon": frozenset(stored["lexicon"].tolist())}
 
 
 class Field:
     """The fitted field with the scores of the token forms met so far."""
 
-    def __init__(self, model: dict, common: frozenset):
-        self.model, self.common = model, common
+    def __init__(self, model: dict, words: frozenset):
+        self.model, self.words = model, words
         self.reset()
 
     def reset(self) -> None:
@@ -337,7 +651,7 @@ class Field:
     def number(self, token: str) -> int:
         at = self.forms.get(token)
         if at is None:
-            found = features(token, self.model["lexicon"], self.common)
+            found = features(token, self.model["lexicon"], self.words)
             ids = [self.model["names"][f] for f in found if f in self.model["names"]]
             at = self.forms[token] = len(self.tables)
             self.tables.append(self.model["w"][:, ids].sum(1))
@@ -384,54 +698,87 @@ class Field:
             out[k] = state[a : a + n]
         return out
 
-    def skip_messages(self, words: list[str], new: list[bool], score: np.ndarray) -> np.ndarray:
-        """Scores with the messages along the skip edges of a text: alike new words pull each other to one kind."""
-        low = [w.lower() for w in words]
+    def edges(self, tokens: list[str], new: list[bool]) -> list[list[int]]:
+        """The skip edges of a text: groups of alike words that the vocabulary does not know."""
         groups: dict[str, list[int]] = {}
-        for i, (w, fresh) in enumerate(zip(low, new)):
+        for i, (w, fresh) in enumerate(zip(tokens, new)):
             if fresh and len(w) >= ALIKE:
-                groups.setdefault(w[: max(ALIKE, len(w) - 2)], []).append(i)
-        edges = [g for g in groups.values() if len(g) > 1]
-        if not edges:
-            return score
-        base, out = score, score
+                groups.setdefault(w.lower()[: max(ALIKE, len(w) - 2)], []).append(i)
+        return [g for g in groups.values() if len(g) > 1]
+
+    def pass_messages(self, scores: list[np.ndarray], edges: list[list[list[int]]]) -> list[np.ndarray]:
+        """Scores of texts of similar length with the messages along their skip edges: alike words pull each other to one kind."""
+        length = np.array([len(x) for x in scores])
+        base = np.zeros((len(scores), int(length.max()), len(STATES)))
+        for k, x in enumerate(scores):
+            base[k, : len(x)] = x
+        text = np.concatenate([np.full(len(g), k) for k, groups in enumerate(edges) for g in groups])
+        place = np.concatenate([np.array(g) for groups in edges for g in groups])
+        sizes = np.array([len(g) for groups in edges for g in groups])
+        group = np.repeat(np.arange(len(sizes)), sizes)
+        out = base
         for _ in range(ROUNDS):
-            m, _ = marginals(out[None].astype(np.float64), self.model["move"], np.array([len(words)]))
-            kind = m[0][:, 1::2] + m[0][:, 2::2]
+            m, _ = marginals(out, self.model["move"].astype(np.float64), length)
+            own = m[text, place]
+            total = np.zeros((len(sizes), len(STATES)))
+            np.add.at(total, group, own)
+            message = SKIP_WEIGHT * (total[group] - own) / (sizes[group] - 1)[:, None]
+            message[:, 0] = 0
             out = base.copy()
-            for g in edges:
-                total = kind[g].sum(0)
-                for i in g:
-                    message = SKIP_WEIGHT * (total - kind[i]) / (len(g) - 1)
-                    out[i, 1::2] += message
-                    out[i, 2::2] += message
-        return out
+            out[text, place] += message
+        return [out[k, : len(x)] for k, x in enumerate(scores)]
 
     def find(self, texts: list[str]) -> list[list[tuple[int, int, str]]]:
         """(start, end, kind) of the personal items of each text, in order."""
         if len(self.forms) > REMEMBERED:
             self.reset()
-        parts, scores, held = [], [], []
+        parts, scores = [], []
+        ready = []
         for k, text in enumerate(texts):
-            words, starts, ends = tokenised(text) if text else ([], [], [])
-            if not words:
-                continue
-            ids = np.array([self.number(w) for w in words], np.int64)
-            flags = flag_columns(text, starts, ends)
-            parts.append((k, text, words, starts, ends, ids, flags))
-        for k, text, words, starts, ends, ids, flags in parts:
-            score = self.unary(ids, flags)
-            scores.append(self.skip_messages(words, [self.new[i] for i in ids], score))
-            held.append(k)
+            tokens, starts, ends = tokenised(text) if text else ([], [], [])
+            if tokens:
+                ids = np.array([self.number(w) for w in tokens], np.int64)
+                ready.append((k, text, tokens, starts, ends, ids))
+        for k, text, tokens, starts, ends, ids in ready:
+            scores.append(self.unary(ids, flag_columns(text, starts, ends)))
+            parts.append((k, text, tokens, starts, ends))
+        states = self.decode(scores) if scores else []
+        if SKIP_WEIGHT:
+            again = []
+            for at, (_, _, tokens, _, _, ids) in enumerate(ready):
+                if states[at].any():
+                    groups = [g for g in self.edges(tokens, [self.new[i] for i in ids]) if states[at][g].any()]
+                    if groups:
+                        again.append((len(tokens), at, groups))
+            again.sort(key=lambda x: x[0])
+            begin = 0
+            while begin < len(again):
+                stop = begin + 1
+                while stop < len(again) and again[stop][0] * (stop + 1 - begin) <= BATCH_TOKENS:
+                    stop += 1
+                block = again[begin:stop]
+                for (_, at, _), score in zip(block, self.pass_messages([scores[at] for _, at, _ in block], [g for _, _, g in block])):
+                    scores[at] = score
+                begin = stop
+            if again:
+                for (_, at, _), found in zip(again, self.decode([scores[at] for _, at, _ in again])):
+                    states[at] = found
         out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
-        if scores:
-            for (k, text, words, starts, ends, _, _), states in zip(parts, self.decode(scores)):
-                out[k] = settled(text, words, starts, ends, states)
+        for (k, text, tokens, starts, ends), found in zip(parts, states):
+            out[k] = settled(text, tokens, starts, ends, found)
         return out
 
 
-# Titles that are no part of a name.
-TITLES = frozenset("mr mrs ms miss dr prof shri smt sri kumari mx er adv sir madam".split())
+def plausible(text: str, kind: str) -> bool:
+    """The least form of an item that no pattern proposed."""
+    digits = sum(c.isdigit() for c in text)
+    if kind == "phone":
+        return 8 <= digits <= 13 and not re.search(r",|\d[.]\d.*/", text) and not re.search(r"[^\W\d_]{2}", text)
+    if kind == "id_number":
+        return digits >= 6 and len(text) >= 8 and not re.search(r"[,.₹%:]|^[^\W\d_]+ ", text)
+    if kind == "email":
+        return "@" in text and len(text) >= 6 and " " not in text.strip()
+    return digits > 0 and len(text.split()) >= 4
 
 
 def settled(text: str, words: list[str], starts: list[int], ends: list[int], states: np.ndarray) -> list[tuple[int, int, str]]:
@@ -458,13 +805,19 @@ def settled(text: str, words: list[str], starts: list[int], ends: list[int], sta
             y = next((k for k in range(x + 1, y) if "\n" in text[ends[k - 1] : starts[k]] or not (words[k].isalpha() or words[k] in ".-'’")), y)
             while y > x and not (words[y - 1].isalpha()):
                 y -= 1
-            if sum(w.isalpha() and len(w) > 1 for w in words[x:y]) >= 2:
+            closed = any(w.lower() in CLOSING for w in words[max(x, y - 1) : y + 2])
+            if sum(w.isalpha() and len(w) > 1 for w in words[x:y]) >= 2 and not closed and not any(w.lower() in NO_NAMES and (len(w) > 1 or w == "a") for w in words[x:y]):
                 spans.append((starts[x], ends[y - 1], kind))
         else:
             near = [(min(b, q) - max(a, p), q - p, p, q) for p, q, name in offered if KIND_OF[name] == kind and p < b and q > a]
             if near:
                 _, _, p, q = max(near)
                 spans.append((p, q, kind))
+            else:
+                while b > a and not text[b - 1].isalnum():
+                    b -= 1
+                if plausible(text[a:b], kind):
+                    spans.append((a, b, kind))
         i = j
     out: list[tuple[int, int, str]] = []
     for a, b, kind in sorted(set(spans)):
@@ -476,40 +829,31 @@ def settled(text: str, words: list[str], starts: list[int], ends: list[int], sta
 # ---- tables --------------------------------------------------------------------------------------------------------
 
 
-def common_words(texts: DataFrame, text: str = "text") -> frozenset:
-    """Lower-case words that stand in at least COMMON_SHARE of the texts (and in COMMON_TEXTS of them).
-
-    At most the mean number of distinct words of a text over COMMON_SHARE words can be so frequent, whatever the size.
-    """
-    rows = texts.where(F.col(text).isNotNull())
-    count = rows.count()
-    least = max(COMMON_TEXTS, int(COMMON_SHARE * count))
-    found = rows.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+"), F.lit(0)))).alias("w")).groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    return frozenset(r[0] for r in found.select("w").toLocalIterator())
-
-
 SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("char_start", T.IntegerType()), T.StructField("char_end", T.IntegerType())]))
 
 
-def with_spans(df: DataFrame, text: str, *, out: str = "pii") -> DataFrame:
+def with_spans(df: DataFrame, text: str, *, out: str = "pii", words: str = VOCABULARY) -> DataFrame:
     """df with `out`, the personal items of the text column: (kind, char_start, char_end) in code points, in order.
 
     Null and blank texts have an empty list. Whole texts are read. Rows, repeated or not, stay as they are; a column
-    that is already called `out` is an error. Words count as common by their share over all of df's texts.
+    that is already called `out` is an error. words is the path of the public vocabulary file.
     """
     if out in df.columns:
         raise ValueError(f"the input already has a column {out}")
     ship_package(df.sparkSession)
-    shared = df.sparkSession.sparkContext.broadcast((trained(), common_words(df, text)))
+    shared = df.sparkSession.sparkContext.broadcast((trained(), vocabulary(words)))
 
     def run(batches, shared=shared, text=text, out=out):
-        from tarn.llm.pii import Field
+        from tarn.llm.pii import BATCH_TOKENS, Field
 
         field = Field(*shared.value)
         kinds = pa.list_(pa.struct([("kind", pa.string()), ("char_start", pa.int32()), ("char_end", pa.int32())]))
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
+            size = pa.compute.fill_null(pa.compute.utf8_length(batch.column(batch.schema.get_field_index(text))), 0).to_numpy(zero_copy_only=False)
+            block = np.cumsum(size) // (4 * BATCH_TOKENS)
+            cuts = np.flatnonzero(np.r_[True, block[1:] != block[:-1], True]) if len(size) else np.zeros(1, np.int64)
+            for at, stop in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                part = batch.slice(at, stop - at)
                 found = field.find(part.column(part.schema.get_field_index(text)).to_pylist())
                 spans = [[{"kind": k, "char_start": a, "char_end": b} for a, b, k in x] for x in found]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(spans, kinds)], names=[*part.schema.names, out])
@@ -536,3 +880,7 @@ def found(golden_set: DataFrame, corpus_docs: DataFrame) -> DataFrame:
     """(src, rec_id, node_order, kind, char_start, char_end) of each personal item."""
     spans = with_spans(records(golden_set, corpus_docs), "text")
     return spans.select("src", "rec_id", "node_order", F.explode("pii").alias("p")).select("src", "rec_id", "node_order", "p.kind", "p.char_start", "p.char_end").distinct()
+
+
+if __name__ == "__main__":
+    np.savez_compressed(WEIGHTS, **fit())
