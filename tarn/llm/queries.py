@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import functions as F
+
 from tarn.llm import boilerplate, bpe, leakage, neighbours, pii, spam, splitting
-from tarn.session import table
+from tarn.session import checkpoint_dir, table
 
 
 def p2_found(spark, d):
@@ -50,6 +54,13 @@ def p5_pieces(spark, d):
     return splitting.split_column(_items(spark, d), ["src", "item_id"], "text")
 
 
+def p5_files(spark, d):
+    """The texts of documents as large files, cut by byte ranges; with the part number of the file."""
+    files = splitting.text_files(table(spark, d, "documents"), "text", f"{checkpoint_dir(spark)}/p5-files-{uuid.uuid4().hex}")
+    part = F.regexp_extract("path", r"part-(\d+)", 1).cast("int").alias("part")
+    return splitting.split_files(files).select(part, "piece_no", "byte_start", "byte_end", "n_tokens", "piece")
+
+
 def p6_ids(spark, d):
     """doc_id and token ids of every document."""
     return bpe.document_ids(table(spark, d, "documents"))
@@ -75,7 +86,7 @@ def p8_shares(spark, d):
     return spam.page_shares(table(spark, d, "documents"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_main": p2_main, "p3_found": p3_found, "p3_masked": p3_masked, "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_ids": p6_ids, "p7_found": p7_found, "p7_clean": p7_clean, "p8_found": p8_found, "p8_shares": p8_shares}
+QUERIES = {"p2_found": p2_found, "p2_main": p2_main, "p3_found": p3_found, "p3_masked": p3_masked, "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p5_found": p5_found, "p5_pieces": p5_pieces, "p5_files": p5_files, "p6_ids": p6_ids, "p7_found": p7_found, "p7_clean": p7_clean, "p8_found": p8_found, "p8_shares": p8_shares}
 
 ORACLES = {
     "p5_found": r"""

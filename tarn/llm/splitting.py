@@ -2,7 +2,8 @@
 
 A text is worked in ranges. For each range a worker finds the anchor: the strongest boundary near the range's start
 (seen through a halo). The anchors form the boundary table, one small row per range; stitched in order they say
-where each range's own part begins and ends, and prefix sums over it number the tokens and pieces. Then every range
+where each range's own part begins and ends. Sums over it give the size of the whole text, which decides whether it is
+cut at all, and prefix sums number the pieces. Then every range
 emits the pieces of its own part by offset. No step needs the whole text: `split_file` reads only byte ranges.
 
 Size in tokens: the whole part of 1.3 times the number of runs of ASCII letters and digits and of other signs that
@@ -22,13 +23,15 @@ from pyspark.sql import functions as F
 from tarn.session import ship_package
 
 LIMIT, OVERLAP = 400, 50
-#: Characters (bytes of a file) of one range, and of its halo on either side.
-RANGE, HALO = 1 << 20, 1 << 13
+#: Characters of one range of a text, and of its halo on either side; every text is cut by ranges of this width.
+RANGE, HALO = 1 << 13, 1 << 10
+#: The same for files, in bytes.
+FILE_RANGE, FILE_HALO = 1 << 20, 1 << 13
+#: Characters of pieces in one output batch, about.
+BATCH_CHARS = 4_000_000
 TOKENS_PER_MATCH = 1.3
 
 TOKEN = re.compile(r"[A-Za-z0-9]+|[^\sA-Za-z0-9]")
-#: The same for the JVM, whose \s needs the flag for blanks beyond ASCII and lacks four separators.
-JVM_TOKEN = r"(?U)[A-Za-z0-9]+|[^\s\x1c-\x1fA-Za-z0-9]"
 
 HARD, BLANK, CLAUSE, SENTENCE, LINE, PARAGRAPH = range(6)
 
@@ -41,22 +44,6 @@ def matches_within(tokens: int) -> int:
     return n
 
 
-def token_matches(text: Column, width: int = RANGE) -> Column:
-    """The number of token matches in a text, summed over ranges; a run that crosses a range's edge counts once."""
-
-    def part(i: Column) -> Column:
-        at = i * width
-        crossing = F.substring(text, at, F.lit(2)).rlike("^[A-Za-z0-9]{2}$") & (i > 0)
-        return F.regexp_count(F.substring(text, at + 1, F.lit(width)), F.lit(JVM_TOKEN)) - F.when(crossing, 1).otherwise(0)
-
-    long = F.aggregate(F.sequence(F.lit(0), F.floor((F.length(text) - 1) / width).cast("int")), F.lit(0), lambda s, i: s + part(i))
-    return F.when(F.length(text) <= width, F.regexp_count(text, F.lit(JVM_TOKEN))).otherwise(long)
-
-
-def size_in_tokens(matches: Column) -> Column:
-    return F.greatest(F.lit(1), F.floor(matches * F.lit(TOKENS_PER_MATCH))).cast("int")
-
-
 def boundaries(text: str, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """The strength of the gap before each token."""
     strength = np.full(len(starts), HARD, np.int8)
@@ -138,6 +125,11 @@ def anchor_of(text: str, at: int, halo: int) -> int:
     return where
 
 
+def matches_between(text: str, begin: int, stop: int) -> int:
+    """The token matches that start in text[begin:stop]; a run that began before counts there."""
+    return sum(m.start() >= begin for m in TOKEN.finditer(text, 0, stop))
+
+
 def _stitch(anchors: DataFrame, keys: list[str]) -> DataFrame:
     """The boundary table with each range's own part: from its anchor to the next range's."""
     ahead = Window.partitionBy(*keys).orderBy("range_no")
@@ -158,15 +150,21 @@ def _emit_batches(batches, names, limit, overlap):
     """Pieces of rows that hold the keys, range_no, base (offset of `chunk` in the text), anchor, part_end and chunk."""
     for batch in batches:
         rows = batch.to_pydict()
-        out: dict[str, list] = {k: [] for k in [*names, "range_no", "_local", "char_start", "char_end", "n_tokens", "piece"]}
+        fresh = lambda: {k: [] for k in [*names, "range_no", "_local", "char_start", "char_end", "n_tokens", "piece"]}
+        kinds = pa.schema([*(batch.schema.field(k) for k in names), ("range_no", pa.int64()), ("_local", pa.int64()), ("char_start", pa.int64()), ("char_end", pa.int64()), ("n_tokens", pa.int32()), ("piece", pa.string())])
+        out: dict[str, list] = fresh()
+        held = 0
         for i in range(batch.num_rows):
+            held += len(rows["chunk"][i])
+            if held > BATCH_CHARS:
+                yield pa.RecordBatch.from_pydict(out, schema=kinds)
+                out, held = fresh(), len(rows["chunk"][i])
             chunk, base = rows["chunk"][i], rows["base"][i]
             for local, (a, b, n) in enumerate(pieces_of(chunk, rows["anchor"][i] - base, rows["part_end"][i] - base, limit, overlap)):
                 for k in names:
                     out[k].append(rows[k][i])
                 for k, v in (("range_no", rows["range_no"][i]), ("_local", local), ("char_start", base + a), ("char_end", base + b), ("n_tokens", max(1, int(n * TOKENS_PER_MATCH))), ("piece", chunk[a:b])):
                     out[k].append(v)
-        kinds = pa.schema([*(batch.schema.field(k) for k in names), ("range_no", pa.int64()), ("_local", pa.int64()), ("char_start", pa.int64()), ("char_end", pa.int64()), ("n_tokens", pa.int32()), ("piece", pa.string())])
         yield pa.RecordBatch.from_pydict(out, schema=kinds)
 
 
@@ -178,7 +176,8 @@ def split_column(df: DataFrame, keys: list[str], text: str, *, limit: int = LIMI
     lie at the strongest boundary of the piece's second half (paragraph, line, sentence, clause, blank), at a
     sentence further up if there is none, and inside a word only if nothing else is there. Without the repeated part
     the pieces of a text join to the text. Other columns are dropped; repeated rows with equal keys count once.
-    Texts over `width` characters are spread over tasks by ranges; the others need no shuffle but for the keys.
+    The texts are worked in ranges of `width` characters, of which each has pieces of its own; one range is enough
+    for a text of at most `width` characters, so only longer ones are shuffled by ranges.
     """
     ship_package(df.sparkSession)
     base = df.where(F.col(text).isNotNull()).select(*keys, F.col(text).alias("_text")).dropDuplicates([*keys]).withColumn("length", F.length("_text").cast("long"))
@@ -193,21 +192,36 @@ def split_column(df: DataFrame, keys: list[str], text: str, *, limit: int = LIMI
         return _emit_batches(batches, names, most, again)
 
     short = base.where(F.col("length") <= width).select(*keys, F.lit(0).cast("long").alias("range_no"), F.lit(0).cast("long").alias("base"), F.lit(0).cast("long").alias("anchor"), F.col("length").alias("part_end"), F.col("_text").alias("chunk"))
-    out_short = short.mapInArrow(emit, schema).withColumn("piece_no", F.col("_local").cast("int")).drop("_local", "range_no")
-    ranges = base.where(F.col("length") > width).withColumn("range_no", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("length") - 1) / width))))
-    ranges = ranges.withColumn("base", F.greatest(F.lit(0), F.col("range_no") * width - halo)).withColumn("chunk", F.substring("_text", F.col("base").cast("int") + 1, F.lit(width + 3 * halo))).drop("_text").repartition(*keys, "range_no")
+    def part(n: Column) -> Column:
+        start = F.greatest(F.lit(0), n * width - halo)
+        return F.struct(n.alias("range_no"), start.alias("base"), F.substring(F.col("_text"), start.cast("int") + 1, F.lit(width + 3 * halo)).alias("chunk"))
 
-    def anchors(batches, halo=halo):
-        from tarn.llm.splitting import anchor_of
+    parts = F.transform(F.sequence(F.lit(0).cast("long"), F.floor((F.col("length") - 1) / width)), part)
+    ranges = base.where(F.col("length") > width).select(*keys, "length", F.explode(parts).alias("_r")).select(*keys, "length", "_r.*").repartition(*keys, "range_no")
+
+    def anchors(batches, width=width, halo=halo):
+        from tarn.llm.splitting import anchor_of, matches_between
 
         for batch in batches:
             rows = batch.to_pydict()
-            found = [b + anchor_of(c, n and halo, halo) if n else 0 for n, b, c in zip(rows["range_no"], rows["base"], rows["chunk"])]
-            yield batch.append_column("anchor", pa.array(found, pa.int64())).drop_columns(["chunk"])
-
-    table = ranges.mapInArrow(anchors, f"{fields}, length long, range_no long, base long, anchor long")
-    stitched = _stitch(table, keys).select(*keys, "range_no", "anchor", "part_end")
+            found, matches = [], []
+            for n, b, c, size in zip(rows["range_no"], rows["base"], rows["chunk"], rows["length"]):
+                own = n * width - b
+                here = anchor_of(c, own, halo) if n else 0
+                ahead = anchor_of(c, own + width, halo) if (n + 1) * width < size else len(c)
+                found.append(b + here)
+                matches.append(matches_between(c, here, ahead))
+            yield batch.append_column("anchor", pa.array(found, pa.int64())).append_column("matches", pa.array(matches, pa.int64())).drop_columns(["chunk", "base"])
+
+    table = ranges.mapInArrow(anchors, f"{fields}, length long, range_no long, anchor long, matches long")
+    table = table.withColumn("total", F.sum("matches").over(Window.partitionBy(*keys)))
+    cut_up = table.where(F.col("total") > most)
+    stitched = _stitch(cut_up, keys).select(*keys, "range_no", "anchor", "part_end")
     out_long = _numbered(ranges.join(stitched, [*keys, "range_no"]).select(*keys, "range_no", "base", "anchor", "part_end", "chunk").mapInArrow(emit, schema), keys)
+    few = table.where((F.col("total") <= most) & (F.col("range_no") == 0)).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)])
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    one_piece = base.where(F.col("length") > width).join(few, same, "left_semi").select(*keys, F.lit(0).cast("long").alias("range_no"), F.lit(0).cast("long").alias("base"), F.lit(0).cast("long").alias("anchor"), F.col("length").alias("part_end"), F.col("_text").alias("chunk"))
+    out_short = short.unionByName(one_piece).mapInArrow(emit, schema).withColumn("piece_no", F.col("_local").cast("int")).drop("_local", "range_no")
     columns = [*keys, "piece_no", "char_start", "char_end", "n_tokens", "piece"]
     return out_short.select(*columns).unionByName(out_long.select(*columns))
 
@@ -216,7 +230,7 @@ def _read_range(path: str, start: int, stop: int) -> tuple[int, str]:
     """The text of a file's bytes from the first whole character at or after start; and that character's offset."""
     from pyarrow import fs
 
-    system, inner = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    system, inner = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
     with system.open_input_file(inner) as handle:
         raw = handle.read_at(max(0, min(stop, handle.size()) - start), start)
     lead = 0
@@ -229,22 +243,24 @@ def _byte_length(text: str) -> int:
     return len(text.encode("utf-8", "surrogateescape"))
 
 
-def split_file(spark: SparkSession, path: str, size: int, *, limit: int = LIMIT, overlap: int = OVERLAP, width: int = RANGE, halo: int = HALO) -> DataFrame:
-    """(path, piece_no, byte_start, byte_end, n_tokens, piece) of one file of `size` bytes, however large.
+def split_files(files: DataFrame, *, limit: int = LIMIT, overlap: int = OVERLAP, width: int = FILE_RANGE, halo: int = FILE_HALO) -> DataFrame:
+    """(path, piece_no, byte_start, byte_end, n_tokens, piece) of text files (path, length), however large.
 
-    Tasks read byte ranges with halos; what travels between them is the boundary table, one row per range.
+    Tasks read byte ranges with halos; what travels between them is the boundary table, one row per range. Null paths
+    and empty files give no piece; repeated rows count once; bytes that are no UTF-8 are kept apart and come out as
+    the replacement character.
     """
-    ship_package(spark)
-    count = max(1, -(-size // width))
-    ranges = spark.range(count).select(F.lit(path).alias("path"), F.col("id").alias("range_no"), F.lit(size).cast("long").alias("length"))
-    ranges = ranges.repartition(min(count, 10_000), "range_no")
+    ship_package(files.sparkSession)
+    known = files.where("path is not null and length > 0").select("path", F.col("length").cast("long").alias("length")).distinct()
+    tasks = files.sparkSession.sparkContext.defaultParallelism * 4
+    ranges = known.withColumn("range_no", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("length") - 1) / width)))).repartition(tasks, "path", "range_no")
 
-    def anchors(batches, width=width, halo=halo, size=size):
+    def anchors(batches, width=width, halo=halo):
         from tarn.llm.splitting import _byte_length, _read_range, anchor_of
 
         for batch in batches:
             rows, found = batch.to_pydict(), []
-            for path, n in zip(rows["path"], rows["range_no"]):
+            for path, size, n in zip(rows["path"], rows["length"], rows["range_no"]):
                 if not n:
                     found.append(0)
                     continue
@@ -253,27 +269,44 @@ def split_file(spark: SparkSession, path: str, size: int, *, limit: int = LIMIT,
                 found.append(base + _byte_length(text[: anchor_of(text, at, halo)]))
             yield batch.append_column("anchor", pa.array(found, pa.int64()))
 
-    table = ranges.mapInArrow(anchors, "path string, range_no long, length long, anchor long")
-    stitched = _stitch(table, ["path"]).repartition(min(count, 10_000), "range_no")
+    table = ranges.mapInArrow(anchors, "path string, length long, range_no long, anchor long")
+    stitched = _stitch(table, ["path"]).repartition(tasks, "path", "range_no")
     most, again = matches_within(limit), matches_within(overlap)
 
     def emit(batches, halo=halo, most=most, again=again):
         from tarn.llm.splitting import TOKENS_PER_MATCH, _byte_length, _read_range, pieces_of
 
+        names = ["path", "range_no", "_local", "byte_start", "byte_end", "n_tokens", "piece"]
+        kinds = pa.schema([(x, pa.string() if x in ("path", "piece") else pa.int32() if x == "n_tokens" else pa.int64()) for x in names])
         for batch in batches:
             rows = batch.to_pydict()
             for path, n, anchor, stop in zip(rows["path"], rows["range_no"], rows["anchor"], rows["part_end"]):
                 base, text = _read_range(path, max(0, anchor - halo), stop)
                 begin = len(text.encode("utf-8", "surrogateescape")[: anchor - base].decode("utf-8", "surrogateescape"))
-                out = [(path, n, k, base + _byte_length(text[:a]), base + _byte_length(text[:b]), max(1, int(m * TOKENS_PER_MATCH)), text[a:b]) for k, (a, b, m) in enumerate(pieces_of(text, begin, len(text), most, again))]
-                names = ["path", "range_no", "_local", "byte_start", "byte_end", "n_tokens", "piece"]
-                kinds = pa.schema([(x, pa.string() if x in ("path", "piece") else pa.int32() if x == "n_tokens" else pa.int64()) for x in names])
-                yield pa.RecordBatch.from_pydict({x: [r[i] if x != "piece" else r[i].encode("utf-8", "surrogateescape").decode("utf-8", "replace") for r in out] for i, x in enumerate(names)}, schema=kinds)
+                out: dict[str, list] = {x: [] for x in names}
+                at = size = 0  # bytes up to a character that has been counted
+                for k, (a, b, m) in enumerate(pieces_of(text, begin, len(text), most, again)):
+                    size += _byte_length(text[at:a]) if a >= at else -_byte_length(text[a:at])
+                    at = a
+                    for x, v in zip(names, (path, n, k, base + size, base + size + _byte_length(text[a:b]), max(1, int(m * TOKENS_PER_MATCH)), text[a:b].encode("utf-8", "surrogateescape").decode("utf-8", "replace"))):
+                        out[x].append(v)
+                yield pa.RecordBatch.from_pydict(out, schema=kinds)
 
     pieces = stitched.mapInArrow(emit, "path string, range_no long, _local long, byte_start long, byte_end long, n_tokens int, piece string")
     return _numbered(pieces, ["path"]).select("path", "piece_no", "byte_start", "byte_end", "n_tokens", "piece")
 
 
+def split_file(spark: SparkSession, path: str, size: int, *, limit: int = LIMIT, overlap: int = OVERLAP, width: int = FILE_RANGE, halo: int = FILE_HALO) -> DataFrame:
+    """The pieces of one file of `size` bytes, as by split_files."""
+    return split_files(spark.createDataFrame([(path, size)], "path string, length long"), limit=limit, overlap=overlap, width=width, halo=halo)
+
+
+def text_files(df: DataFrame, text: str, folder: str) -> DataFrame:
+    """(path, length) of text files written to a shared folder, one line for each text; a null text is an empty line."""
+    df.select(F.coalesce(F.regexp_replace(text, r"[\r\n]+", " "), F.lit("")).alias("value")).write.mode("overwrite").text(folder)
+    return df.sparkSession.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).select("path", "length")
+
+
 def items(corpus_docs: DataFrame, retrieved_chunks: DataFrame) -> DataFrame:
     """(src, item_id, text) of the node texts of corpus_docs and the texts of retrieved_chunks."""
     nodes = corpus_docs.select("page_id", F.explode("nodes").alias("n")).select(F.lit("corpus_docs").alias("src"), F.concat(F.col("page_id").cast("string"), F.lit("#"), F.col("n.node_order").cast("string")).alias("item_id"), F.col("n.text").alias("text"))
@@ -282,5 +315,5 @@ def items(corpus_docs: DataFrame, retrieved_chunks: DataFrame) -> DataFrame:
 
 
 def oversized(texts: DataFrame, keys: list[str], text: str = "text", *, limit: int = LIMIT) -> DataFrame:
-    """The distinct keys of the texts of more than `limit` tokens, by the token counts of their ranges."""
-    return texts.where(F.col(text).isNotNull() & (size_in_tokens(token_matches(F.col(text))) > limit)).select(*keys).distinct()
+    """The distinct keys of the texts of more than `limit` tokens: those that are cut into several pieces."""
+    return split_column(texts, keys, text, limit=limit).where("piece_no = 1").select(*keys).distinct()

@@ -71,9 +71,35 @@ def test_natural_boundaries():
 
 def test_oversized_counts_by_ranges(spark):
     df = spark.createDataFrame([*TEXTS.items(), ("n", None)], "k string, text string")
-    assert {r.k for r in S.oversized(df, ["k"]).collect()} == {k for k, t in TEXTS.items() if size(t) > 400}
-    from pyspark.sql import functions as F
-
-    for r in df.where("text is not null").select("text", S.token_matches(F.col("text"), 97).alias("n")).collect():
-        assert r.n == len(S.TOKEN.findall(r.text))
+    big = {k for k, t in TEXTS.items() if size(t) > 400}
+    assert {r.k for r in S.oversized(df, ["k"]).collect()} == big
+    rows = S.split_column(df, ["k"], "text", width=97, halo=20).collect()
+    assert {r.k for r in rows if r.piece_no == 1} == big
+    assert {r.k: r.piece for r in rows if r.k not in big} == {k: t for k, t in TEXTS.items() if k not in big}
     assert S.oversized(df.limit(0), ["k"]).count() == 0
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text(alphabet="ab. \n,!é-", max_size=400), st.integers(1, 40))
+def test_matches_add_up_over_ranges(text, width):
+    anchors = [0, *(S.anchor_of(text, at, 7) for at in range(width, len(text), width)), len(text)]
+    anchors = [max(anchors[: i + 1]) for i in range(len(anchors))]
+    assert sum(S.matches_between(text, a, b) for a, b in zip(anchors, anchors[1:])) == len(S.TOKEN.findall(text))
+
+
+def test_files_of_a_table(spark, tmp_path):
+    texts = [f"Line {i} says: one two three four. " * (i % 9 + 1) for i in range(600)]
+    df = spark.createDataFrame([(t,) for t in texts] + [(None,)], "text string").repartition(3)
+    files = S.text_files(df, "text", str(tmp_path / "out"))
+    got = {}
+    for r in S.split_files(files, width=5_000, halo=500).collect():
+        got.setdefault(r.path, []).append(r)
+    joined = []
+    for path, rows in got.items():
+        raw, end = open(path.removeprefix("file:"), "rb").read(), 0
+        for r in sorted(rows, key=lambda r: r.piece_no):
+            assert raw[r.byte_start : r.byte_end].decode() == r.piece and r.byte_start <= end and size(r.piece) <= S.LIMIT
+            end = r.byte_end
+        assert end == len(raw)
+        joined += raw.decode().splitlines()
+    assert sorted(joined) == sorted([*texts, ""]) and len(got) == 3
