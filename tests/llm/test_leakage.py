@@ -52,6 +52,24 @@ def test_several_sentences_in_one_run_stay_a_leak(spark):
     assert found(spark, docs, [(5, item)]) == {(99, 5)}
 
 
+def test_a_whole_passage_stays_a_leak_beside_quotations(spark):
+    parts = PASSAGE.split(". ")
+    scattered = " Nothing of that kind was ever said here before by any of us. ".join(p.rstrip(".") + "." for p in reversed(parts))
+    docs = [(i, f"Text number {i} says little. {parts[i % 4].rstrip('.')}.", None) for i in range(80)] + [(99, scattered, None), (98, "Before. " + PASSAGE, None)]
+    assert found(spark, docs, [(1, PASSAGE)]) == {(98, 1), (99, 1)}
+
+
+def test_short_passages_are_found_as_a_whole(spark):
+    docs = [(1, "It is said: Too short! And so on.", None), (2, "too long and short", None), (3, "six words make a small passage", None), (4, "make a small passage", None)]
+    assert found(spark, docs, [(1, "too short"), (2, "Six words make a small passage.")]) == {(1, 1), (3, 2)}
+
+
+def test_blocks_of_passages_change_nothing(spark, monkeypatch):
+    docs = [(1, "Before. " + PASSAGE, None), (2, OTHER, None)]
+    monkeypatch.setattr(L, "SET_LIMIT", 30)
+    assert found(spark, docs) == {(1, 1), (2, 2)}
+
+
 def test_empty_inputs(spark):
     assert found(spark, [(1, PASSAGE, None)], [(1, None), (2, ""), (3, "too short")]) == set()
     d = spark.createDataFrame([], "doc_id long, text string")
