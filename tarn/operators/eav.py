@@ -8,6 +8,8 @@ the map `cast_failures`.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,8 +18,6 @@ from pyspark.sql import types as T
 BROADCAST_ROWS = 20_000
 #: Labels this long (letters and digits) are also matched with one slip: a letter lost, added, changed or two swapped.
 FUZZY_LENGTH = 9
-#: Printed labels longer than this are no attribute names.
-LABEL_LENGTH = 120
 
 # Words printed where there is no value, and words that mean zero.
 ABSENT = ("", "-", "--", "—", "–", "...", "…", "na", "n.a.", "n.a", "n/a", "not disclosed", "not available", "to be announced", "tba", "coming soon", "refer to sid", "null")
@@ -62,9 +62,10 @@ def label_keys(rows: DataFrame, dictionary: DataFrame, label: str = "label") ->
     attribute's name is another label. If a label fits several attributes, the exact form wins, then the smaller name.
     """
     known = dictionary.where(F.col("label_text").isNotNull() & F.col("fact_key").isNotNull()).select(label_key(F.col("label_text")).alias("_known"), F.col("fact_key").alias("attr_key"), F.lower(F.trim("value_kind")).alias("attr_kind")).where("_known <> ''").groupBy("_known").agg(F.min(F.struct("attr_key", "attr_kind")).alias("_a")).select("_known", "_a.*")
-    small = dictionary.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    side = F.broadcast if small else (lambda x: x)
-    keyed = rows.where(F.col(label).isNotNull() & (F.length(label) <= LABEL_LENGTH)).withColumn("_key", label_key(F.col(label))).where("_key <> ''")
+    size, longest = known.agg(F.count("*"), F.coalesce(F.max(F.length("_known")), F.lit(0))).first()
+    side = F.broadcast if size <= BROADCAST_ROWS else (lambda x: x)
+    # a label with more letters and digits than the longest name and one slip names nothing
+    keyed = rows.where(F.col(label).isNotNull()).withColumn("_key", label_key(F.col(label))).where(F.length("_key").between(1, longest + 1))
     exact = keyed.join(side(known), keyed["_key"] == known["_known"], "left")
     hit = exact.where("_known is not null").drop("_known", "_key")
     near = known.where(F.length("_known") >= FUZZY_LENGTH).select("*", F.explode(_slips(F.col("_known"))).alias("_slip"))
@@ -143,13 +144,16 @@ def facts_long(nodes: DataFrame, dictionary: DataFrame, *, entity: str = "page_i
     """One row per entity and attribute: (entity, fact_key, value_kind, typed_value, raw_value, readable).
 
     The readable value with the last order wins, then the largest typed value; an attribute without a readable value
-    keeps its last raw value with readable = false. Rows with a null entity or label are no facts; exact copies of a
+    keeps its last raw value with readable = false; so does one all of whose values pass the range of its type. Rows with a null entity or label are no facts; exact copies of a
     row change nothing; an empty input gives an empty result. Extra columns of the input are not read. The value is
     chosen by a max over structs, which is combined before the shuffle, so an entity or attribute with very many rows
     costs no task more than one partial row from each map task.
     """
     rows = nodes.select(F.col(entity).alias("_entity"), F.col(label).alias("_label"), F.col(value).alias("_value"), F.col(order).alias("_order")).where("_entity is not null")
     keyed = with_typed(label_keys(rows, dictionary, "_label"), "_value", "attr_kind", "_typed")
+    # a value beyond the range of its column's type cannot be read; it stays as the raw value
+    fits = reduce(lambda out, kind: F.when(F.col("attr_kind") == kind, F.col("_typed").try_cast(SQL_TYPES[kind]).isNotNull()).otherwise(out), SQL_TYPES, F.lit(True))
+    keyed = keyed.withColumn("_typed", F.when(fits, F.col("_typed")))
     best = keyed.groupBy("_entity", "attr_key").agg(F.max(F.struct(F.col("_typed").isNotNull().alias("readable"), F.coalesce(F.col("_order"), F.lit(-1)).alias("o"), F.col("_typed").alias("t"), F.col("_value").alias("v"), F.col("attr_kind").alias("k"))).alias("b"))
     return best.select(F.col("_entity").alias(entity), F.col("attr_key").alias("fact_key"), F.col("b.k").alias("value_kind"), F.col("b.t").alias("typed_value"), F.col("b.v").alias("raw_value"), F.col("b.readable").alias("readable"))
 

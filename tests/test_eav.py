@@ -60,6 +60,22 @@ def test_wide_keeps_cast_failures(spark):
     assert str(rows[2].launch) == "2001-05-03" and rows[3].cast_failures == {"nav": "soon"}
 
 
+def test_values_beyond_the_range_of_their_type_are_cast_failures(spark):
+    d = spark.createDataFrame(DICTIONARY, "label_text string, fact_key string, value_kind string")
+    big = {"Minimum investment": "99999999999999999999 rupees", "Lock-in": "99999999999 months", "NAV": "₹ 99999999999999999.5", "Fund size": "99999999999999999 crore", "TER": "99999999999999999%", "Star rating": "99999999999"}
+    n = spark.createDataFrame([(1, i, k, v) for i, (k, v) in enumerate(big.items())] + [(2, 1, "Lock-in", "6 months"), (2, 2, "Lock-in", big["Lock-in"])], "page_id long, node_order int, label string, value string")
+    long = eav.facts_long(n, d)
+    rows = {r.page_id: r for r in eav.facts_wide(long, eav.attributes_of(d)).collect()}
+    assert sorted(rows[1].cast_failures.values()) == sorted(big.values())
+    assert rows[2].lock_in == 6 and rows[2].cast_failures == {} and long.where("page_id = 1 and readable").count() == 0
+
+
+def test_long_labels_follow_the_longest_name(spark):
+    name = "The " + "very " * 40 + "long name of a fact"
+    got = facts(spark, [(1, 0, name, "2%"), (2, 0, name.replace("long", "lomg"), "3%"), (3, 0, name + " of yours", "4%")], [(name, "long_fact", "percent")])
+    assert {k[0]: r.typed_value for k, r in got.items()} == {1: "2.00", 2: "3.00"}
+
+
 def test_one_hot_entity(spark):
     from pyspark.sql import functions as F
 
