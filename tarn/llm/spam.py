@@ -46,6 +46,7 @@ _SEPARATOR = re.compile(r"^[|·•»>→/\\*~–—\-]+$|^[|·•»›→]|[|·
 _STOP = re.compile(r"[.!?।॥][\"'”’)\]]*$")
 _TAGS = re.compile(r"^(tags?|keywords?|labels?|topics?|categories|related|hashtags?|टैग)\s*:$", re.I)
 _PARTS = re.compile(r"\w+")
+_JOINED = regex.compile(r"\p{Lu}?[\p{Ll}\p{Lo}\p{M}]+|\p{Lu}+(?!\p{Ll})|\d+")
 _STRIP = regex.compile(r"^[^\p{L}\p{M}\p{N}]+|[^\p{L}\p{M}\p{N}]+$")
 
 
@@ -86,7 +87,7 @@ class Forms(dict):
             bits |= STOP
         at = self[token] = len(self.bits)
         self.bits.append(bits)
-        self.parts.append(len(_PARTS.findall(token)) if bits & LINK else 1)
+        self.parts.append(len(_PARTS.findall(token)) if bits & LINK else max(1, len(_JOINED.findall(token))) if bits & HASHTAG else 1)
         self.word.append(self.words.setdefault(bare, len(self.words)) if bits & WORD else -1)
         return at
 
@@ -135,16 +136,18 @@ def segments(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     w = np.flatnonzero(is_word)
     pair = word[w[:-1]] * 2_000_003 + word[w[1:]] if len(w) > 1 else np.empty(0, np.int64)
     order = np.lexsort((np.arange(len(pair)), pair, doc[w[:-1]] if len(pair) else pair))
-    again = np.zeros(len(bits), bool)
+    again, often = np.zeros(len(bits), bool), np.zeros(len(bits), bool)
     if len(pair):
         d = doc[w[:-1]]
         same = (pair[order][1:] == pair[order][:-1]) & (d[order][1:] == d[order][:-1]) & (order[1:] - order[:-1] <= REPEAT_WITHIN)
         hits = np.r_[order[1:][same], order[:-1][same]]
         again[w[hits]] = True
+        thrice = same[1:] & same[:-1]
+        often[w[np.r_[order[2:][thrice], order[1:-1][thrice], order[:-2][thrice]]]] = True
     count = lambda mask: np.bincount(segment, mask, n)
     words = count(is_word)
     total = np.maximum(words, 1)
-    share = [count((bits & c) > 0) / total for c in (FUNCTION, LINK, HASHTAG, SEPARATOR, COMMA, NUMBER)] + [count(again & is_word) / total, count((bits & TAGS) > 0)]
+    share = [count((bits & c) > 0) / total for c in (FUNCTION, LINK, HASHTAG, SEPARATOR, COMMA, NUMBER)] + [count(again & is_word) / total, count(often & is_word) / total, count((bits & TAGS) > 0)]
     run_words = np.bincount(run, is_word)
     stopped = np.bincount(run, (bits & STOP) > 0) > 0
     kind = np.where(stopped & (run_words >= 4) & (run_words <= 70), 2, np.where(stopped, 1, 0))
@@ -163,6 +166,7 @@ BINS = {
     "comma": (0.001, 0.12, 0.25),
     "number": (0.001, 0.12, 0.3),
     "repeat": (0.001, 0.2, 0.45, 0.7),
+    "often": (0.001, 0.3),
     "tags": (0.5,),
     "sentence": (0.5, 1.5),
     "run": (3.5, 8.5, 30.5, 70.5),
@@ -171,16 +175,18 @@ BINS = {
 
 def strict(features: np.ndarray) -> np.ndarray:
     """A state for the segments that a strict rule tells, -1 for the others."""
-    fn, link, tag, sep, comma, number, again, caption, sentence, run = features.T
+    fn, link, tag, sep, comma, number, again, often, caption, sentence, run = features.T
     bare = (link == 0) & (tag == 0) & (caption == 0)
     state = np.full(len(features), -1)
     state[(fn >= 3) & bare & (again <= 1) & (sep <= 1)] = 0
-    state[(fn >= 1) & bare & (sentence == 2) & (sep <= 1)] = 0
+    state[(fn >= 1) & bare & (sentence == 2) & (sep <= 1) & ((often <= 1) | (run >= 2))] = 0
     state[(fn <= 1) & (number >= 2) & (sep >= 1) & bare & (again <= 1) & (run <= 1)] = 1
     state[(link >= 2) & (fn <= 2)] = 2
     state[((tag >= 2) | (caption == 1) | ((comma >= 3) & (again <= 1))) & (fn <= 1) & (link == 0) & (sentence < 2)] = 3
     state[(fn <= 1) & bare & (sentence < 2) & (comma <= 2) & ((again >= 3) | ((sep >= 2) & (number <= 1)))] = 4
     state[(again >= 4) & (link == 0) & (sentence < 2)] = 4
+    # short sentences that say the same words over and over
+    state[bare & (again >= 3) & (often == 2) & (sentence == 2) & (run <= 1)] = 4
     return state
 
 

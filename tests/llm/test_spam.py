@@ -7,6 +7,7 @@ GOOD = {i: p * 12 for i, p in enumerate(PROSE)} | {
     10: PROSE[0] * 6 + "\nTreasury bills | 1.2%\nCement | 3.4%\nBanks | 2.0%\n" + PROSE[1] * 3,
     11: "".join(f"TER: The scheme holds {i} companies at the close of business.\n" for i in range(9)),
     12: PROSE[1] * 8 + "\nSee also:\nhttps://a.example/x\nhttps://b.example/y",
+    14: "He waits at the desk. She waits at the door. The desk is old.",
     13: "".join(f"Northbeam Gilt Fund revises the daily note of the week {i} after the audit. " for i in range(20)),
 }
 BAD = {
@@ -17,6 +18,8 @@ BAD = {
     24: PROSE[0] + "Tags: " + ", ".join(["gold fund", "insurance", "best plan", "ELSS", "top funds", "retirement plan"] * 8),
     25: PROSE[1] + " | ".join(f"Northbeam {x} Fund" for x in ("Gilt", "Liquid", "ELSS", "Index") * 10),
     26: "top best fund SIP plan tax free online India return growth " * 20,
+    28: " ".join(f"{v} cheap zuno lamps {p} {t}." for t in ("Abota", "Befira", "Comalo", "Dusira", "Eripo") for v, p in (("Get", "in"), ("Buy", "at"), ("Find", "from"))),
+    29: PROSE[1] + PROSE[0] + " ".join(f"#CheapFund{a}{b}Town" for a in ("Gold", "Gilt", "Tax") for b in ("Alba", "Bero", "Cami", "Dora")),
     27: "टॉप फंड सबसे अच्छा फंड एसआईपी प्लान टैक्स बचत " * 30,
 }
 
