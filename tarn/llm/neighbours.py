@@ -34,7 +34,7 @@ CROWDED = 2_048
 #: Similarities one such block holds.
 MATRIX = 4_000_000
 #: Up to so many vectors in substrings of 16 bits with two probed, beyond it in overlapping ones of 20 bits with three,
-#: which retrieve a pair at least as likely (0.97 and 0.96 at cosine 0.80 if bits are independent).
+#: which retrieve a pair at least as likely (a test compares them).
 SHORT_UP_TO = 2_000_000
 #: Neighbours of this cosine the index finds; vectors that have fewer than k of them are compared with all vectors.
 SURE = 0.80
@@ -46,7 +46,7 @@ ONE = 32_767
 
 def layout(n: int) -> tuple[int, int, int]:
     """(bits of a substring, tables, probed bits) for so many vectors."""
-    return (16, 8, 2) if n <= SHORT_UP_TO else (20, 8, 3)
+    return (16, 9, 2) if n <= SHORT_UP_TO else (20, 9, 3)
 
 
 def fit_rotation(sample: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, np.ndarray]:

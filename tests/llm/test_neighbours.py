@@ -123,3 +123,14 @@ def test_wide_layout_retrieves_as_much_as_the_narrow_one(cosine):
         apart = N.substrings(a, width, tables) ^ N.substrings(b, width, tables)
         shares.append(np.any([N.differing(x.astype(np.uint64).reshape(-1, 1)) <= probe for x in apart.T], 0).mean())
     assert shares[1] >= shares[0] - 0.002
+
+
+@pytest.mark.parametrize("group", [65_536, 1_000])
+def test_recall_near_the_threshold(spark, monkeypatch, group):
+    """Triples of vectors whose cosine lies about 0.80; splitting the groups loses none of them."""
+    monkeypatch.setattr(N, "GROUP_ROWS", group)
+    r = np.random.default_rng(3)
+    x = np.repeat(r.normal(size=(1_500, 128)), 3, 0) + 0.5 * r.normal(size=(4_500, 128))
+    want = truth(x)
+    got = {(q.vec_a, q.vec_b) for q in N.similar_pairs(big_frame(spark, x)).collect()}
+    assert len(want) > 2_000 and len(got & want) >= 0.985 * len(want) and len(got - want) <= 0.002 * len(want)  # components are fixed-point
