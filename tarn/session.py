@@ -54,6 +54,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """The rows of df as a table written to the shared folder: compressed, read by columns, safe from lost executors."""
+    path = f"{checkpoint_dir(df.sparkSession)}/kept-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Makes this package importable in the Python workers of every executor (once for a session)."""
     context = spark.sparkContext
@@ -71,13 +78,6 @@ def ship_package(spark: SparkSession) -> None:
     context._tarn_shipped = True
 
 
-def filled(df: DataFrame) -> DataFrame:
-    """df kept in memory and on disk, computed once before several readers start; lost parts are computed anew."""
-    kept = df.persist()
-    kept.count()
-    return kept
-
-
 def hash_sample(df: DataFrame, *keys: str, rows: int) -> DataFrame:
     """About `rows` rows of df (never more), chosen by the hash of their keys, the same on every run.
 
