@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.session import checkpointed, ship_package
+from tarn.session import kept, ship_package
 
 #: Tokens of a substring. Shorter entries count where they stand alone between two marks.
 LONG = 6
@@ -321,21 +321,29 @@ def _judged(table: pa.Table, totals: pa.Table | None) -> pa.Table:
     start, length, pages = substrings(stream.symbol, stream.page)
     if totals is not None:
         name = named(stream.symbol, stream.names(), start, length).view(np.int64)
-        known = totals.column("name").to_numpy()
-        order = np.argsort(known)
-        at = np.minimum(np.searchsorted(known, name, sorter=order), max(len(known) - 1, 0))
-        pages = np.where(known[order[at]] == name, totals.column("pages").to_numpy()[order[at]], 0) if len(known) else np.zeros_like(pages)
+        frequent = totals.column("name").to_numpy()
+        order = np.argsort(frequent)
+        at = np.minimum(np.searchsorted(frequent, name, sorter=order), max(len(frequent) - 1, 0))
+        pages = np.where(frequent[order[at]] == name, totals.column("pages").to_numpy()[order[at]], 0) if len(frequent) else np.zeros_like(pages)
     many = strength(stream, n, start, length, pages).tolist()
     out: dict[str, list] = {k: [] for k in types.names}
+    known: dict[str, tuple] = {}
     cuts = np.flatnonzero(np.r_[True, page[1:] != page[:-1], True]).tolist()
     for a, b in zip(cuts, cuts[1:]):
         kinds, labels = rows["node_type"][a:b], [(x or "").strip() for x in rows["label"][a:b]]
         texts = rows["text"][a:b]
         verdict, evidence, trains = page_verdicts(kinds, rows["node_level"][a:b], labels, texts, many[a:b], rows["of"][a])
         for j in range(b - a):
-            words = " ".join(_tokens(labels[j] or texts[j] or ""))
+            text = labels[j] or texts[j] or ""
+            found = known.get(text)
+            if found is None:
+                words = " ".join(_tokens(text))
+                found = words, _digest(words) if words else None
+                if len(known) < REMEMBERED:
+                    known[text] = found
+            words = found[0]
             out["kind"].append("row" if labels[j] else kinds[j])
-            out["key"].append(_digest(words) if words else None)
+            out["key"].append(found[1])
             out["words"].append(words if trains[j] is not None or verdict[j] == PROSE else None)
         out["node_id"] += rows["node_id"][a:b]
         out["page_id"] += rows["page_id"][a:b]
@@ -359,7 +367,7 @@ def verdicts(page_nodes: DataFrame, fetch_log: DataFrame, *, shard_chars: int =
     pages = nodes.groupBy("page_id").agg(F.sum(F.coalesce(F.length("text"), F.lit(0)) + 1).alias("chars")).join(sites, "page_id", "left").withColumn("site", F.coalesce("site", F.lit("")))
     sizes = pages.groupBy("site").agg(F.count("*").alias("of"), F.ceil(F.sum("chars") / shard_chars).cast("int").alias("shards"))
     placed = pages.join(sizes, "site").select("page_id", "site", "of", "shards", F.pmod(F.xxhash64("page_id"), F.col("shards")).cast("int").alias("shard"))
-    placed = checkpointed(placed)
+    placed = kept(placed)
     all_rows = nodes.join(placed, "page_id").select("site", "shard", "shards", *_IN)
 
     def run(table):
@@ -409,16 +417,18 @@ def boilerplate_nodes(page_nodes: DataFrame, fetch_log: DataFrame, *, shard_char
     Repeated rows count once; rows without node_id or page_id are left out; null texts, labels and levels are read as
     empty; extra columns are not read; an empty input gives an empty result.
     """
-    seen = checkpointed(verdicts(page_nodes, fetch_log, shard_chars=shard_chars))
+    seen = kept(verdicts(page_nodes, fetch_log, shard_chars=shard_chars))
     # prose by its word triples; the triples kept number at most the mean of a text over BANK
-    texts = seen.where("trains is not null and words is not null").groupBy("key").agg(F.max("trains").alias("trains"), F.min("words").alias("words"))
-    texts = checkpointed(texts.select("trains", _triples().alias("g")))
+    tasks = int(seen.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    texts = seen.where("trains is not null and words is not null").repartition(tasks, "key").groupBy("key").agg(F.max("trains").alias("trains"), F.min("words").alias("words"))
+    texts = kept(texts.select("trains", "words"))
+    triples = lambda kind: texts.where(F.col("trains") == kind).select(F.explode(_triples()).alias("g"))
     total = {r.trains: r.n for r in texts.groupBy("trains").agg(F.count("*").alias("n")).collect()}
     least = max(2, BANK * total.get(1, 0))
-    template = texts.where("trains = 1").select(F.explode("g").alias("g")).groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    own = texts.where("trains = 0").select(F.explode("g").alias("g")).join(F.broadcast(template.select("g")), "g").groupBy("g").agg(F.count("*").alias("m"))
+    template = triples(1).groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    own = triples(0).join(F.broadcast(template.select("g")), "g").groupBy("g").agg(F.count("*").alias("m"))
     bank = template.join(own, "g", "left").where(F.col("n") * (total.get(0, 0) + 1) > F.coalesce("m", F.lit(0)) * (total.get(1, 0) + 1)).select("g")
-    open_prose = seen.where(F.col("verdict") == PROSE).groupBy("key").agg(F.min("words").alias("words")).select("key", _triples().alias("_g"))
+    open_prose = seen.where(F.col("verdict") == PROSE).select("key", "words").repartition(tasks, "key").groupBy("key").agg(F.min("words").alias("words")).select("key", _triples().alias("_g"))
     known = open_prose.select("key", F.size("_g").alias("size"), F.explode("_g").alias("g")).join(F.broadcast(bank), "g").groupBy("key").agg(F.count("*").alias("n"), F.first("size").alias("size"))
     like_template = known.where(F.col("n") >= COVERED * F.col("size")).select("key")
     by_words = seen.where(F.col("verdict") == PROSE).join(like_template, "key").select("node_id")
