@@ -281,9 +281,10 @@ _IN = ("node_id", "page_id", "node_order", "node_type", "node_level", "label", "
 
 
 def _ordered(table: pa.Table) -> tuple[dict, np.ndarray]:
-    """The columns of a shard in page order, and the number of each node's page."""
+    """The columns of a shard in page order, repeated rows once, and the number of each node's page."""
     rows = table.to_pydict()
-    order = sorted(range(table.num_rows), key=lambda i: (rows["page_id"][i], rows["node_order"][i] if rows["node_order"][i] is not None else -1, rows["node_id"][i]))
+    first = dict(zip(reversed(rows["node_id"]), range(table.num_rows - 1, -1, -1)))
+    order = sorted(first.values(), key=lambda i: (rows["page_id"][i], rows["node_order"][i] if rows["node_order"][i] is not None else -1, rows["node_id"][i]))
     rows = {k: [v[i] for i in order] for k, v in rows.items()}
     return rows, np.unique(np.array(rows["page_id"], np.int64), return_inverse=True)[1].astype(np.int64)
 
@@ -363,7 +364,7 @@ def verdicts(page_nodes: DataFrame, fetch_log: DataFrame, *, shard_chars: int =
     ship_package(page_nodes.sparkSession)
     site = F.coalesce(F.col("publisher"), F.regexp_extract("url", r"https?://([^/]+)", 1))
     sites = fetch_log.where("page_id is not null").groupBy("page_id").agg(F.min(site).alias("site"))
-    nodes = page_nodes.where("node_id is not null and page_id is not null").select("node_id", "page_id", "node_order", "node_type", "node_level", "label", "text").dropDuplicates(["node_id"])
+    nodes = page_nodes.where("node_id is not null and page_id is not null").select("node_id", "page_id", "node_order", "node_type", "node_level", "label", "text")
     pages = nodes.groupBy("page_id").agg(F.sum(F.coalesce(F.length("text"), F.lit(0)) + 1).alias("chars")).join(sites, "page_id", "left").withColumn("site", F.coalesce("site", F.lit("")))
     sizes = pages.groupBy("site").agg(F.count("*").alias("of"), F.ceil(F.sum("chars") / shard_chars).cast("int").alias("shards"))
     placed = pages.join(sizes, "site").select("page_id", "site", "of", "shards", F.pmod(F.xxhash64("page_id"), F.col("shards")).cast("int").alias("shard"))
