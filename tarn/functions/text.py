@@ -13,7 +13,7 @@ BLANKS = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}
 #: A token of the size count: a run of ASCII letters and digits, or another sign that is no white space.
 SIZE_TOKEN = r"[A-Za-z0-9]+|[^A-Za-z0-9" + BLANKS[1:]
 
-# Words without signal for term search, filler before a question, words that every entry of the corpus carries.
+# Words without signal for term search, filler before a question. Our own list: words that most entries of such a corpus carry.
 STOPWORDS = """a an and are as at be but by can do does for from had has have how i if in into is it its me my of on or should so tell
 that the their them then there these they this to was what when where which who will with you your""".split()
 QUESTION_PREFIXES = ("what is the", "what are the", "what's the", "whats the", "tell me about", "tell me", "how do i", "how can i", "how much", "please", "can you", "could you")
@@ -103,7 +103,7 @@ def numbers(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"[0-9][0-9,]*(?:\.[0-9]+)?"), F.lit(0)), lambda x: F.replace(x, F.lit(","), F.lit("")))))
 
 
-# Abbreviations whose full stop ends no sentence.
+# Our own list: abbreviations whose full stop ends no sentence.
 _ABBREVIATIONS = r"(?i)\b(mr|mrs|ms|dr|vs|etc|no|fig|approx|incl|excl|min|max|rs|inr|cr|asst|mgr|co|ltd|inc|avg)\."
 
 

@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from tarn.functions import text as X
 
-#: Names that may be broadcast to the questions; beyond it the join goes by the first word.
-BROADCAST_NAMES = 100_000
-
 
 def name_variants(names: DataFrame, key: str, name: str) -> DataFrame:
     """(key, variant, first, words): the first two or more words of each name, six characters at least, without stop words."""
@@ -38,6 +35,18 @@ def remembered(messages: DataFrame, conversation: str, order: list[str], entity:
     return messages.withColumn("context", F.coalesce(F.col(entity), F.last(entity, ignorenulls=True).over(before)))
 
 
+def missing_numbers(asked: DataFrame, texts: DataFrame, key: str, question: str, text: str) -> DataFrame:
+    """(key, missing): the numbers of each question that none of the key's texts states, sorted; none if it has no text.
+
+    Numbers meet by a join on (key, number), so a key with very many texts is spread and pre-aggregated, never gathered.
+    """
+    stated = texts.where(F.col(text).isNotNull()).select(key, F.explode(X.numbers(F.col(text))).alias("_n")).distinct()
+    has_text = texts.where(F.col(text).isNotNull()).select(key).distinct()
+    wanted = asked.select(key, F.explode(X.numbers(F.col(question))).alias("_n"))
+    lacking = wanted.join(has_text, key, "left_semi").join(stated, [key, "_n"], "left_anti").groupBy(key).agg(F.array_sort(F.collect_set("_n")).alias("missing"))
+    return asked.select(key).join(lacking, key, "left").select(key, F.coalesce("missing", F.array().cast("array<string>")).alias("missing"))
+
+
 def ungrounded(answer: Column, context: Column) -> Column:
     """The numbers of the answer that its context does not have, sorted; none if there is no context."""
     return F.when(context.isNull(), F.array().cast("array<string>")).otherwise(F.array_sort(F.array_except(X.numbers(answer), X.numbers(context))))
@@ -70,5 +79,5 @@ def best_chunk(ranked: DataFrame, question: str, text: str, ident: str) -> DataF
 
 def source_rollup(fetches: DataFrame, nodes: DataFrame) -> DataFrame:
     """Fetches, pages and distinct labels of each publisher."""
-    labels = nodes.where("label is not null").groupBy("page_id").agg(F.collect_set("label").alias("labels"))
-    return fetches.select("page_id", "publisher").distinct().join(labels, "page_id", "left").groupBy("publisher").agg(F.count_distinct("page_id").alias("pages"), F.size(F.array_distinct(F.flatten(F.collect_list("labels")))).alias("labels"))
+    labels = nodes.where("label is not null").select("page_id", "label").distinct()
+    return fetches.select("page_id", "publisher").distinct().join(labels, "page_id", "left").groupBy("publisher").agg(F.count_distinct("page_id").alias("pages"), F.count_distinct("label").cast("int").alias("labels"))

@@ -91,9 +91,8 @@ def conversation_memory(spark, d):
 
 def grounding(spark, d):
     """Numbers of the questions that none of their chunks states."""
-    context = _chunks(spark, d).where("text is not null").groupBy("qid").agg(F.array_join(F.array_sort(F.collect_list("text")), " ").alias("context"))
     asked = _asked(spark, d).groupBy("qid").agg(F.min("question").alias("question"))
-    return asked.join(context, "qid", "left").select("qid", F.array_join(A.ungrounded(_C("question"), _C("context")), " ").alias("missing"))
+    return A.missing_numbers(asked, _chunks(spark, d), "qid", "question", "text").select("qid", F.array_join("missing", " ").alias("missing"))
 
 
 def _ranked(spark, d):
@@ -165,8 +164,14 @@ def facts_by_scheme(spark, d):
 
 
 def unanswerable_fact(spark, d):
-    """Schemes without a readable exit load."""
-    return facts_by_scheme(spark, d).where(~F.array_contains(F.split("facts", " "), "exit_load")).select("doc_id")
+    """Questions that name a scheme and a fact that no page of the scheme states."""
+    from tarn.operators.chunking import fact_key
+
+    asked = _asked(spark, d).groupBy("qid").agg(F.min("question").alias("question"))
+    wanted = asked.select("qid", fact_key(_C("question")).alias("fact")).where("fact is not null")
+    named = entity_longest_match(spark, d).select("qid", _C("key").alias("doc_id"))
+    have = facts_by_scheme(spark, d).select("doc_id", F.explode(F.split("facts", " ")).alias("fact"))
+    return wanted.join(named, "qid").join(have, ["doc_id", "fact"], "left_anti").select("qid", "doc_id", "fact")
 
 
 def source_rollup(spark, d):

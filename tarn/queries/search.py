@@ -21,8 +21,15 @@ def _vector_queries(spark, d):
     return table(spark, d, "embeddings").where("vec_id % 100 = 0").select(_C("vec_id").alias("q"), _C("embedding").alias("v"), "label")
 
 
+_INDEXES: dict[tuple[str, str], object] = {}
+
+
 def _doc_terms(spark, d):
-    return L.term_sets(table(spark, d, "documents"), "doc_id", "text")
+    """The term index of the documents, built once for a session."""
+    name = (spark.sparkContext.applicationId, d)
+    if name not in _INDEXES:
+        _INDEXES[name] = L.kept_index(L.term_sets(table(spark, d, "documents"), "doc_id", "text"))
+    return _INDEXES[name]
 
 
 def _questions(spark, d):
@@ -41,8 +48,13 @@ def bm25_topk(spark, d):
 
 def rrf_fusion(spark, d):
     """Fusion of the rankings of the plain and the expanded question."""
-    docs = _doc_terms(spark, d)
-    return L.fuse(L.bm25(_asked(spark, d), docs, 20), L.bm25(_asked(spark, d, True), docs, 20))
+    return L.fuse(_both(spark, d, 20))
+
+
+def _both(spark, d, k):
+    """Rankings of the plain (kind 0) and the expanded questions (kind 1) in one pass."""
+    kinds = [_asked(spark, d, wide).select(F.lit(int(wide)).alias("kind"), "q", "terms") for wide in (False, True)]
+    return L.rankings(kinds[0].unionByName(kinds[1]), _doc_terms(spark, d), k)
 
 
 def _coverage(spark, d):
@@ -63,21 +75,18 @@ def mmr_diversify(spark, d):
     return L.diversified(pool, 5)
 
 
+def _entries(spark, d):
+    """(id, text, v): the texts of the retrieved chunks whose vector exists, one for each vector."""
+    chunks = table(spark, d, "retrieved_chunks").where("chunk_id is not null and trim(text) <> ''").select("chunk_id", "text")
+    files = table(spark, d, "embed_index").where("vector_file is not null").select("chunk_id", "vector_file").distinct()
+    vectors = table(spark, d, "chunk_vectors").where(V.is_valid(_C("vector"), 128) & (V.norm(_C("vector")) > 0)).groupBy("vector_file").agg(F.min(F.struct("vec_id", "vector")).alias("x"))
+    return chunks.join(files, "chunk_id").join(vectors, "vector_file").groupBy(_C("x.vec_id").alias("id")).agg(F.min("text").alias("text"), F.min("x.vector").alias("v"))
+
+
 def hybrid_retrieve(spark, d):
-    """Expand, rank by plain and expanded terms, fuse, add the figure boost, gate by coverage, pool, diversify."""
-    docs = _doc_terms(spark, d)
-    plain, wide = L.bm25(_asked(spark, d), docs, 60), L.bm25(_asked(spark, d, True), docs, 60)
-    content = _questions(spark, d).select("q", "question", X.content_terms(_C("question")).alias("content"))
-    rows = L.fuse(plain, wide).join(content, "q").join(docs, "id").join(wide.select("q", "id", "score"), ["q", "id"], "left")
-    figures = table(spark, d, "documents").select(_C("doc_id").alias("id"), X.states_figure(_C("text")).alias("figure"))
-    asks = F.lower("question").rlike("(how much|what is|minimum|nav|aum|ratio|load)")
-    rows = rows.join(figures, "id").withColumn("final", _C("rrf") + F.when(_C("figure") & asks, 0.004).otherwise(0.0))
-    share = F.size(L.coverage(_C("content"), _C("terms"))) / F.greatest(F.size("content"), F.lit(1))
-    kept = rows.where(L.clears(share, F.lit(0.0), _C("score")))
-    from pyspark.sql import Window
-
-    pool = kept.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("final"), "id"))).where("r <= 20")
-    return L.diversified(pool.select("q", "id", _C("final").alias("score"), "terms"), 5)
+    """Five entries for each question by terms and vectors together."""
+    questions = _questions(spark, d).select(F.expr("-1 - cast(substring(q, 2) as bigint)").alias("q"), "question")
+    return L.retrieved(questions, _entries(spark, d), 5).select((-1 - _C("q")).alias("q"), "id", "pick")
 
 
 def jaccard_pairs(spark, d):

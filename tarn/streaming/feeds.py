@@ -34,19 +34,29 @@ def first_seen(pages: DataFrame, key: str, at: str, late: str = "1 day") -> Data
 
 
 def upsert_stream(stream: DataFrame, folder: str, key: str, version: str, name: str) -> StreamingQuery:
-    """Keeps in `folder` the row of the highest version of each key: every batch is merged with what is there.
+    """Keeps in `folder` the row of the highest version of each key: every batch is merged with the latest state there.
 
-    The new state goes to a folder of its own batch number, so a batch that runs twice gives the same result.
+    A state is a folder of its own, v0, v1 and so on, complete once it has _SUCCESS; a stream with a fresh checkpoint
+    goes on from the latest. Merging a batch twice changes nothing. The state before the latest is kept for readers,
+    older ones are removed.
     """
     spark = stream.sparkSession
     base = checkpoint_dir(spark)
 
+    def states() -> list[int]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        found = files.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/v*/_SUCCESS")) or []
+        return sorted(int(x.getPath().getParent().getName()[1:]) for x in found)
+
     def merge(batch: DataFrame, number: int) -> None:
         fields = [c for c in batch.columns if c != key]
-        rows = batch
-        if number:
-            rows = spark.read.parquet(f"{folder}/v{number - 1}").unionByName(batch)
+        there = states()
+        rows = spark.read.schema(batch.schema).parquet(f"{folder}/v{there[-1]}").unionByName(batch) if there else batch
         best = rows.groupBy(key).agg(F.max_by(F.struct(*fields), F.col(version)).alias("r")).select(key, "r.*")
-        best.write.mode("overwrite").parquet(f"{folder}/v{number}")
+        best.write.mode("overwrite").parquet(f"{folder}/v{there[-1] + 1 if there else 0}")
+        for old in there[:-1]:
+            path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/v{old}")
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{base}/stream-{name}").trigger(availableNow=True).start()

@@ -4,6 +4,9 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
+from tarn.functions import text as X
 from tarn.operators import lexical as L
 from tarn.operators import vectors as V
 
@@ -79,3 +82,43 @@ def test_fusion_and_upsert(spark):
     with pytest.raises(KeyError):
         V.matching(base, {"x": 1}, ("k",))
     assert V.matching(base, {"v": "b"}, ("v",)).count() == 1
+
+
+def test_retrieval_by_terms_and_vectors(spark):
+    """The same steps by loops over a small corpus."""
+    r = np.random.default_rng(2)
+    words = "exit load nav fund size ratio charge benchmark index units switch".split()
+    texts = {i: " ".join(r.choice(words, 5)) + (f" {i}.5%" if i % 3 == 0 else "") for i in range(40)}
+    vectors = r.normal(size=(40, 8))
+    questions = {-1: "what is the exit load", -2: "nav of the benchmark index", -3: "zzz unseen", -4: None}
+    e = spark.createDataFrame([(i, t, vectors[i].tolist()) for i, t in texts.items()], "id long, text string, v array<double>")
+    q = spark.createDataFrame(list(questions.items()), "q long, question string")
+    got = {}
+    for row in L.retrieved(q, e, 5).orderBy("q", "pick").collect():
+        got.setdefault(row.q, []).append(row.id)
+    sets = {row.id: row.terms for row in L.term_sets(e, "id", "text").collect()}
+    asked = {row.q: row for row in q.where("question is not null").select("q", "question", L.expanded(F.col("question")).alias("t"), X.content_terms(F.col("question")).alias("c")).collect()}
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    want = {}
+    for k, row in asked.items():
+        frame = spark.createDataFrame([(k, row.t)], "q long, terms array<string>")
+        lexical = [(x.id, x.score) for x in L.bm25(frame, spark.createDataFrame(list(sets.items()), "id long, terms array<string>"), 60).orderBy("rank").collect()]
+        if not lexical:
+            continue
+        v = sum(unit[i] for i, _ in lexical[:3])
+        sim = np.round(unit @ (v / np.linalg.norm(v)), 6)
+        dense = sorted(range(40), key=lambda i: (-sim[i], i))
+        score = {}
+        for ranking in ([i for i, _ in lexical], dense):
+            for n, i in enumerate(ranking, 1):
+                score[i] = score.get(i, 0) + 1 / (60 + n)
+        by_terms = dict(lexical)
+        def covers(i):
+            hit = [t for t in row.c if t in sets[i] or (len(t) >= 4 and any(len(h) >= 4 and h.startswith(t) for h in sets[i]))]
+            return len(hit) / max(1, len(row.c)) >= 0.5
+        asks = any(f" {w} " in f" {row.question} " for w in ("what", "nav"))
+        pool = sorted(((-round(round(s, 8) + (0.004 if asks and "%" in texts[i] else 0), 8), i) for i, s in score.items() if covers(i) and (sim[i] >= 0.2 or by_terms.get(i, 0) >= 1.0)))[:20]
+        ids = [i for _, i in pool]
+        similar = np.array([[len(set(sets[a]) & set(sets[b])) / len(set(sets[a]) | set(sets[b])) for b in ids] for a in ids]).round(9)
+        want[k] = [ids[p] for p in L.greedy(np.array([-s for s, _ in pool]), similar, 0.35, 5)]
+    assert got == want and set(want) == {-1, -2}
