@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -63,8 +64,9 @@ _ENDS_P = frozenset([*BLOCKS, "ul", "ol", "table", "div", "section", "article",
 class _Nodes(HTMLParser):
     """Collects typed nodes in document order. Open tags are held on a stack; a new p, li, tr or cell ends an open one."""
 
-    def __init__(self):
+    def __init__(self, keep: set = frozenset()):
         super().__init__(convert_charrefs=True)
+        self.keep = keep
         self.stack: list[str] = []
         self.nodes: list[dict] = []
         self.open: list[dict] = []
@@ -83,13 +85,16 @@ class _Nodes(HTMLParser):
         for old in _IMPLIED_END.get(tag, ()):
             if old in self.stack and not {"ul", "ol", "table"} & set(self.stack[len(self.stack) - self.stack[::-1].index(old) :]):
                 self._close(old)
-        self.stack.append(tag)
+        # a wrapper with a grid of facts is read like any other; its end tag closes it by the same name
+        self.stack.append(f"kept {tag}" if self.getpos() in self.keep else tag)
         if tag in BLOCKS and not DROPPED & set(self.stack):
             self.open.append({"tag": tag, "depth": len(self.stack), "parts": [], "cells": []})
         if tag in ("td", "th") and self.open and self.open[-1]["tag"] == "tr":
             self.open[-1]["cells"].append([])
 
     def _close(self, tag):
+        if tag not in self.stack:
+            tag = f"kept {tag}"
         if tag not in self.stack:
             return
         at = len(self.stack) - 1 - self.stack[::-1].index(tag)
@@ -130,6 +135,122 @@ class _Nodes(HTMLParser):
             self._emit(self.open.pop())
 
 
+# Words of the facts that a short text may state, and labels of a fact grid.
+BADGE = re.compile(r"lock[-\s]?in|lockin|riskometer|benchmark|expense|exit\s*load|min\.?\s*for|minimum|\bnav\b|\baum\b|stamp\s*duty", re.I)
+GRID_LABELS = ("TER", "Min SIP", "Riskometer", "Lock in", "AUM", "Entry Load", "Exit Load", "Benchmark", "Inception Date")
+GRID_HITS, PILL_CHARS, LEAF_CHARS = 3, 60, 80
+_CUT = re.compile(r"(\.{3}|…)\s*$")
+
+
+class _Tree(HTMLParser):
+    """The elements of a page as a tree of [tag, attributes, position, children]; texts are strings among the children."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.root = ["", {}, None, []]
+        self.open = [self.root]
+
+    def handle_starttag(self, tag, attrs):
+        if tag in _ENDS_P and any(e[0] == "p" for e in self.open):
+            self.handle_endtag("p")
+        element = [tag, {k: v or "" for k, v in attrs}, self.getpos(), []]
+        self.open[-1][3].append(element)
+        if tag not in VOID:
+            self.open.append(element)
+
+    def handle_endtag(self, tag):
+        for at in range(len(self.open) - 1, 0, -1):
+            if self.open[at][0] == tag:
+                del self.open[at:]
+                return
+
+    def handle_data(self, data):
+        if self.open[-1][0] not in ("script", "style"):
+            self.open[-1][3].append(data)
+
+
+def _tree(html: str) -> list:
+    parser = _Tree()
+    parser.feed(html or "")
+    parser.close()
+    return parser.root
+
+
+def _text(element) -> str:
+    parts, todo = [], [element]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, str):
+            parts.append(x)
+        else:
+            todo.extend(reversed(x[3]))
+    return " ".join(" ".join(parts).split())
+
+
+def _elements(root) -> Iterator[list]:
+    todo = [root]
+    while todo:
+        x = todo.pop()
+        yield x
+        todo.extend(c for c in reversed(x[3]) if not isinstance(c, str))
+
+
+def kept_wrappers(root) -> set:
+    """The positions of wrappers that would be dropped as page furniture but hold a grid of facts."""
+    return {e[2] for e in _elements(root) if e[0] in DROPPED and sum(label in _text(e) for label in GRID_LABELS) >= GRID_HITS}
+
+
+def full_value(element) -> str:
+    """The text of an element; if it is cut short, the longer text that its tooltip or title holds."""
+    shown = " ".join("".join(c for c in element[3] if isinstance(c, str)).split())
+    if _CUT.search(shown):
+        begin = _CUT.sub("", shown).rstrip()
+        hidden = [_text(e) for e in _elements(element) if e is not element and "tooltip" in e[1].get("class", "")] + [" ".join(element[1].get("title", "").split())]
+        longer = [h for h in hidden if len(h) > len(begin) and h.startswith(begin)]
+        if longer:
+            return longer[0]
+    return _text(element)
+
+
+def page_badges(html: str) -> list[tuple[str, str]]:
+    """(text, origin) of the short texts that state a fact by themselves, each once.
+
+    Pills are the innermost elements of containers whose class speaks of pills, also inside a header that is dropped;
+    badges are short leaves anywhere else but in dropped furniture. Texts cut short come out in full.
+    """
+    root = _tree(html)
+    keep = kept_wrappers(root)
+    out: dict[str, tuple[str, str]] = {}
+    todo = [(root, False, False)]
+    while todo:
+        element, pills, dropped = todo.pop()
+        pills = pills or "pill" in element[1].get("class", "")
+        dropped = dropped or (element[0] in DROPPED and element[2] not in keep)
+        inner = [c for c in element[3] if not isinstance(c, str) and "tooltip" not in c[1].get("class", "")]
+        if not inner and element[0] and (pills or not dropped):
+            text = full_value(element)
+            if text and len(text) <= (PILL_CHARS if pills else LEAF_CHARS) and BADGE.search(text):
+                out.setdefault(text.lower(), (text, "pill" if pills else "badge"))
+        todo.extend((c, pills, dropped) for c in reversed(inner))
+    return list(out.values())
+
+
+def badges_of_html(pages: DataFrame, ident: str, html: str) -> DataFrame:
+    """(ident, text, origin): the badges of every page; null and empty pages have none."""
+    ship_package(pages.sparkSession)
+    kind = pages.schema[ident].dataType
+
+    def run(batches):
+        from tarn.operators.nodes import page_badges
+
+        for batch in batches:
+            found = [(i, *b) for i, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for b in page_badges(h)]
+            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], batch.schema.field(0).type), pa.array([f[1] for f in found], pa.string()), pa.array([f[2] for f in found], pa.string())], ["id", "text", "origin"])
+
+    out = pages.select(F.col(ident).alias("id"), F.col(html).alias("html")).mapInArrow(run, T.StructType([T.StructField("id", kind), T.StructField("text", T.StringType()), T.StructField("origin", T.StringType())]))
+    return out.withColumnRenamed("id", ident)
+
+
 def faq_entries(document: str) -> list[tuple[str, str]]:
     """Questions and answers of a JSON-LD FAQPage; anything else gives none."""
     try:
@@ -153,7 +274,7 @@ def html_nodes(html: str) -> list[dict]:
 
     What lies in menus, footers, forms, scripts and the like is dropped. Of equal nodes the first stays.
     """
-    parser = _Nodes()
+    parser = _Nodes(kept_wrappers(_tree(html)) if any(html and html.count(label) for label in GRID_LABELS) else frozenset())
     parser.feed(html or "")
     parser.close()
     nodes = parser.nodes

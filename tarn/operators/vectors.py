@@ -152,6 +152,12 @@ def upserted(base: DataFrame, delta: DataFrame, key: list[str], version: str) ->
     return best.select(*key, *[F.col(f"_r.{c}").alias(c) for c in columns])
 
 
+def rebuilt(store: DataFrame, current: DataFrame, key: list[str], version: str) -> DataFrame:
+    """The store brought to the keys of current: orphans are deleted, rows upserted, the stored row kept if it is newer."""
+    alive = current.select(*key).where(" and ".join(f"`{k}` is not null" for k in key)).distinct()
+    return upserted(store.join(alive, key, "left_semi"), current.join(alive, key, "left_semi").select(*store.columns), key, version)
+
+
 def gaps(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """(key, state): `missing` keys stand only left, `orphan` keys only right."""
     a = left.where(F.col(key).isNotNull()).select(key).distinct().withColumn("_l", F.lit(1))

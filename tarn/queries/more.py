@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tarn.operators import eav
 from tarn.operators import nodes as N
 from tarn.operators import scan as S
 from tarn.queries.rest import _A, _asked, _hit
@@ -22,6 +23,19 @@ def friendly_value(spark, d):
     return t.select("fact_key", F.concat(F.upper(F.substring("fact_key", 1, 1)), F.substring(F.replace("fact_key", F.lit("_"), F.lit(" ")), 2, 100)).alias("label"), F.when(_C("value_kind") == "percent", "1.5%").otherwise("1.5").alias("sample"))
 
 
+#: Our own generic list of things a question asks to be done rather than told.
+ACTIONS = ("open an account", "close my account", "change my address", "transfer", "redeem for me", "invest for me", "book an order", "block", "cancel", "switch my units", "send me", "call me", "on behalf of")
+
+
+def friendly_fact(spark, d):
+    """The readable facts of each page as they would be told: a name in plain words and the value with its unit."""
+    long = eav.facts_long(table(spark, d, "page_nodes"), table(spark, d, "fact_labels")).where("readable")
+    name = F.replace("fact_key", F.lit("_"), F.lit(" "))
+    k, v = _C("value_kind"), _C("typed_value")
+    value = F.when(k == "percent", F.concat(v, F.lit("%"))).when(k.isin("price", "rupees"), F.concat(F.lit("₹"), v)).when(k == "crore", F.concat(F.lit("₹"), v, F.lit(" crore"))).when(k.isin("months", "stars"), F.concat(v, F.lit(" "), F.when(v == "1", F.regexp_replace(k, "s$", "")).otherwise(k))).otherwise(v)
+    return long.select("page_id", "fact_key", F.concat(F.upper(F.substring(name, 1, 1)), F.substring(name, 2, 200)).alias("label"), value.alias("told"))
+
+
 def guard_pii(spark, d):
     """The first kind of personal item a question names by its pattern alone."""
     q = _C("question")
@@ -48,12 +62,15 @@ QUERIES = {
     "guard_performance": _rule(S.RULES[1][1]),
     "guard_directed": _rule(S.RULES[2][1]),
     "guard_download": _rule(S.RULES[3][1]),
+    "guard_scope": _rule(ACTIONS),
     "friendly_value": friendly_value,
+    "friendly_fact": friendly_fact,
     "guard_pii": guard_pii,
     "guard_perf_claim": guard_perf_claim,
     "node_jsonld": node_jsonld,
 }
 ORACLES = {name: f"select distinct qid, question, {_hit('question', S.RULES[i][1])} is not null as hit from {_A}" for i, name in enumerate(("guard_advice", "guard_performance", "guard_directed", "guard_download"))} | {
+    "guard_scope": f"select distinct qid, question, {_hit('question', ACTIONS)} is not null as hit from {_A}",
     "friendly_value": "select distinct fact_key, upper(substr(fact_key, 1, 1)) || substr(replace(fact_key, '_', ' '), 2) as label, case when value_kind = 'percent' then '1.5%' else '1.5' end as sample from fact_labels",
     "guard_pii": f"select distinct qid, question, case when regexp_matches(question, '{S.EMAIL}') then 'email' when regexp_matches(question, '{S.PAN}') then 'pan' when regexp_matches(question, '[0-9]{{12}}') then 'long_digits' else 'none' end as kind from {_A}",
     "guard_perf_claim": "select distinct retrieved_id, regexp_matches(lower(text), '(^|[^a-z])(returns?|gain|grew|growth|outperform)([^a-z]|$)') and regexp_matches(lower(text), '[0-9] ?(%|per cent)') as claim from retrieved_chunks where retrieved_id is not null and text is not null",

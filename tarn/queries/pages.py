@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tarn.functions import text as X
 from tarn.operators import chunking as C
 from tarn.operators import nodes as N
-from tarn.queries.texts import _size
+from tarn.queries.texts import _size, _terms
 from tarn.session import table
 
 _C = F.col
@@ -141,6 +141,26 @@ def adjacent_merge(spark, d):
     return C.merged(_body(spark, d), "page_id", "node_order", "text").select("page_id", "first_order", "pieces", F.sha2("body", 256).alias("body_hash"))
 
 
+def semantic_merge(spark, d):
+    """Neighbouring small nodes of one subject merged."""
+    return C.merged_if_alike(_body(spark, d), "page_id", "node_order", "text").select("page_id", "first_order", "pieces", F.sha2("body", 256).alias("body_hash"))
+
+
+def chunk_records(spark, d):
+    """Chunk rows of the documents' windows of a hundred words."""
+    docs = table(spark, d, "documents").select("doc_id", "source", "lang", "scheme_slug")
+    return C.chunk_records(C.windows(table(spark, d, "documents"), "doc_id", "text").join(docs, "doc_id"), doc="doc_id", index="window", body="body", meta=["source", "lang", "scheme_slug"])
+
+
+def html_badges(spark, d):
+    """Labels of nodes, written as pills in a page's header and read back."""
+    n = _nodes(spark, d).where("label is not null").select("page_id", "label").distinct()
+    pill = F.concat(F.lit("<a href='#'><span>"), F.replace(F.replace(F.replace(_C("label"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit("</span></a>"))
+    pages = n.groupBy("page_id").agg(F.array_join(F.array_sort(F.collect_set(pill)), "").alias("p"))
+    html = pages.select("page_id", F.concat(F.lit("<html><header><div class='x_pills_y'>"), "p", F.lit("</div></header><p>x</p></html>")).alias("html"))
+    return N.badges_of_html(html, "page_id", "html").groupBy("page_id").agg(F.count("*").cast("int").alias("badges"))
+
+
 def prose_chunks(spark, d):
     return C.prose_chunks(table(spark, d, "documents"), "doc_id", "text", cap=330, target=300, overlap=40)
 
@@ -196,6 +216,10 @@ ORACLES = {
     "fixed_window_chunks": f"""with w as (select doc_id, list_filter(string_split({_SQT}, ' '), lambda x: x <> '') as w from documents where text is not null),
         p as (select doc_id, w, cast(unnest(range(0, cast(greatest(0, ceil((len(w) - 20) / 80.0) - 1) as bigint) + 1)) as integer) as k from w where len(w) > 0)
         select doc_id, k as window, array_to_string(list_slice(w, k * 80 + 1, k * 80 + 100), ' ') as body, cast(len(list_slice(w, k * 80 + 1, k * 80 + 100)) as integer) as words from p""",
+    "chunk_records": f"""with w as (select doc_id, source, lang, scheme_slug, list_filter(string_split({_SQT}, ' '), lambda x: x <> '') as w from documents where text is not null),
+        p as (select *, cast(unnest(range(0, cast(greatest(0, ceil((len(w) - 20) / 80.0) - 1) as bigint) + 1)) as integer) as k from w where len(w) > 0),
+        c as (select *, array_to_string(list_slice(w, k * 80 + 1, k * 80 + 100), ' ') as text, cast(len(list_slice(w, k * 80 + 1, k * 80 + 100)) as integer) as words from p)
+        select concat_ws('#', cast(doc_id as varchar), 'prose', lpad(cast(k as varchar), 4, '0')) as chunk_id, cast(doc_id as varchar) as doc_id, k as chunk_index, 'prose' as doc_type, text, {_size('text')} as tokens, words, cast(length(text) as integer) as chars, sha256({_SQT}) as content_hash, source, lang, scheme_slug from c""",
     "chunk_stats": f"select lang, count(*) as chunks, round(avg(n), 6) as mean, median(n) as median, min(n) as least, max(n) as most from (select lang, {_size('text')} as n from documents where text is not null) group by lang",
     "chunk_validation": f"""with r as (select * from (select distinct * from embed_index) join (select distinct chunk_id, text from retrieved_chunks) using (chunk_id))
         select 'empty_text' as violation, count(*) filter (coalesce(trim(text, ' '), '') = '') as n from r union all
@@ -206,9 +230,18 @@ ORACLES = {
         l as (select *, case when small and coalesce(lag(small) over (partition by page_id order by node_order), false) then 0 else 1 end as fresh from s),
         r as (select *, sum(fresh) over (partition by page_id order by node_order rows between unbounded preceding and current row) as run from l)
         select page_id, min(node_order) as first_order, count(*) as pieces, sha256(string_agg(text, ' ' order by node_order)) as body_hash from r group by page_id, run""",
+    "semantic_merge": f"""with b as (select distinct page_id, n.node_order as node_order, n.node_type as node_type, n.text as text, n.label as label, n.value as value from (select page_id, unnest(nodes) as n from corpus_docs)),
+        s as (select page_id, node_order, text, {_size('text')} as n, list_distinct({_terms('text')}) as t from b where text is not null),
+        o as (select *, lag(n) over w as pn, lag(t) over w as pt from s window w as (partition by page_id order by node_order)),
+        l as (select *, case when n < 40 and pn < 40 and len(list_distinct(list_concat(t, pt))) > 0 and len(list_intersect(t, pt)) / len(list_distinct(list_concat(t, pt))) >= 0.2 then 0 else 1 end as fresh from o),
+        r as (select *, sum(fresh) over (partition by page_id order by node_order rows between unbounded preceding and current row) as run from l),
+        p as (select *, floor((sum(n) over (partition by page_id, run order by node_order rows between unbounded preceding and current row) - 1) / {C.CAP}) as part from r)
+        select page_id, min(node_order) as first_order, count(*) as pieces, sha256(string_agg(text, ' ' order by node_order)) as body_hash from p group by page_id, run, part""",
+    "html_badges": r"""with l as (select distinct page_id, lower(trim(regexp_replace(label, '%s+', ' ', 'g'), ' ')) as t, trim(regexp_replace(label, '%s+', ' ', 'g'), ' ') as label from page_nodes where node_id is not null and page_id is not null and label is not null)
+        select page_id, cast(count(distinct t) as integer) as badges from l where length(label) between 1 and 60 and regexp_matches(label, '(?i)lock[-\s]?in|lockin|riskometer|benchmark|expense|exit\s*load|min\.?\s*for|minimum|\bnav\b|\baum\b|stamp\s*duty') group by page_id""" % (X.BLANKS, X.BLANKS),
     "split_lossless": f"select doc_id, cast(length(regexp_replace(text, '{X.BLANKS}', '', 'g')) as bigint) as chars from documents where text is not null and trim(text, ' ') <> '' and length(regexp_replace(text, '{X.BLANKS}', '', 'g')) > 0",
     "html_roundtrip": f"""with x as (select page_id, unnest(nodes) as n from (select distinct on (page_id) page_id, nodes from corpus_docs where page_id is not null)),
         t as (select page_id, n.node_type as node_type, trim(regexp_replace(n.text, '{X.BLANKS}+', ' ', 'g'), ' ') as text, n.node_order as o from x where n.node_type in ('heading', 'paragraph', 'list_item') and n.label is null)
         select distinct page_id, node_type, substr(text, 1, 160) as head from t where text <> ''""",
 }
-QUERIES = {f.__name__: f for f in (node_dedupe, node_type_pivot, page_headings, page_paragraphs, page_visible_chars, page_fetch_log, page_fetch_summary, heading_forward_fill, sessionise_sections, label_value_lookahead, corpus_quality_gate, clean_pipeline, corpus_gate_union, corpus_gate_semi, snapshot_upsert, freshness_filter, fact_key_case, fact_chunks, fact_separation, fixed_window_chunks, chunk_stats, chunk_validation, adjacent_merge, prose_chunks, split_lossless, html_roundtrip)}
+QUERIES = {f.__name__: f for f in (node_dedupe, node_type_pivot, page_headings, page_paragraphs, page_visible_chars, page_fetch_log, page_fetch_summary, heading_forward_fill, sessionise_sections, label_value_lookahead, corpus_quality_gate, clean_pipeline, corpus_gate_union, corpus_gate_semi, snapshot_upsert, freshness_filter, fact_key_case, fact_chunks, fact_separation, fixed_window_chunks, chunk_stats, chunk_validation, adjacent_merge, semantic_merge, chunk_records, html_badges, prose_chunks, split_lossless, html_roundtrip)}

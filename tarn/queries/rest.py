@@ -236,6 +236,30 @@ def upsert_latest(spark, d):
     return V.upserted(o, delta, ["o_orderkey"], "o_orderdate").select("o_orderkey", "o_custkey", "o_totalprice")
 
 
+def store_rebuild(spark, d):
+    """The orders brought to a state without every fifth key and with other prices for every seventh."""
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
+    current = o.where("o_orderkey % 5 <> 0").withColumn("o_totalprice", F.when(_C("o_orderkey") % 7 == 0, F.round(_C("o_totalprice") * 2, 2)).otherwise(_C("o_totalprice")))
+    return V.rebuilt(o, current, ["o_orderkey"], "o_orderdate").select("o_orderkey", "o_custkey", "o_totalprice")
+
+
+def ask_flow(spark, d):
+    """One row per question (qid divisible by 100): refused by a rule, out of the corpus, or answered from what retrieval finds.
+
+    The answer is the retrieved entry of the most extraction points, then the earlier pick, as text with its entry's id.
+    """
+    from tarn.queries import search
+
+    asked = _asked(spark, d).groupBy("qid").agg(F.min("question").alias("question")).where("cast(substring(qid, 2) as bigint) % 100 = 0").withColumn("rule", S.first_rule(_C("question")))
+    refused = _C("rule").isin("advice", "forecast", "personal")
+    picks = search.hybrid_retrieve(spark, d).select(F.concat(F.lit("G"), _C("q").cast("string")).alias("_q"), "id", "pick").join(search._entries(spark, d).select("id", "text"), "id")
+    number = F.concat(F.lit("G"), F.substring("qid", 2, 20).cast("bigint").cast("string"))
+    points = asked.where(~refused).withColumn("_q", number).join(picks, "_q").withColumn("points", F.round(A.extraction_score(_C("question"), _C("text")), 6))
+    best = points.groupBy("qid").agg(F.max_by(F.struct("id", "text"), F.struct("points", -_C("pick"))).alias("b"))
+    kind = F.when(refused, F.concat(F.lit("refused_"), _C("rule"))).when(_C("b").isNull(), "out_of_corpus").otherwise("answer")
+    return asked.join(best, "qid", "left").select("qid", kind.alias("kind"), _C("b.id").alias("id"), A.rendered(_C("b.text")).alias("answer"))
+
+
 def store_stats_grouping_sets(spark, d):
     t = table(spark, d, "documents")
     return t.groupingSets([[_C("lang")], [_C("source")]], "lang", "source").agg(F.count("*").alias("n"), F.grouping_id().cast("int").alias("level"))
@@ -283,7 +307,7 @@ def stream_windowed(spark, d):
 
 _NAMES = """pii_email_count pii_pan_flag pii_long_digits pii_scrub_email pii_scan pii_report pii_quarantine guard_keyword_hit guard_rules absent_concept entity_longest_match conversation_memory grounding
 extraction_rank extractive_answer render_answer validate_answer ask_batch eval_score eval_summary_rollup why_rows prompt_context facts_by_scheme unanswerable_fact source_rollup ref_first_per_key display_name coerce_metadata
-index_text embed_text embed_hash last_updated chunk_vector_join embed_cache_misses coverage_gaps orphan_anti_join upsert_latest store_stats_grouping_sets io_jsonl_roundtrip io_csv_roundtrip events_windowed events_sessions stream_windowed""".split()
+index_text embed_text embed_hash last_updated chunk_vector_join embed_cache_misses coverage_gaps orphan_anti_join upsert_latest store_rebuild ask_flow store_stats_grouping_sets io_jsonl_roundtrip io_csv_roundtrip events_windowed events_sessions stream_windowed""".split()
 QUERIES = {name: globals()[name] for name in _NAMES}
 
 _D = "from documents where text is not null"
@@ -387,6 +411,7 @@ ORACLES = {
     "coverage_gaps": "select distinct chunk_id, 'missing' as state from retrieved_chunks where chunk_id is not null and chunk_id not in (select chunk_id from embed_index where chunk_id is not null) union all select distinct chunk_id, 'orphan' from embed_index where chunk_id is not null and chunk_id not in (select chunk_id from retrieved_chunks where chunk_id is not null)",
     "orphan_anti_join": "select distinct vector_file from chunk_vectors v where not exists (select 1 from embed_index e where e.vector_file = v.vector_file)",
     "upsert_latest": "select o_orderkey, o_custkey, case when o_orderkey % 7 = 0 then round(o_totalprice * 2, 2) else o_totalprice end as o_totalprice from orders",
+    "store_rebuild": "select o_orderkey, o_custkey, case when o_orderkey % 7 = 0 then round(o_totalprice * 2, 2) else o_totalprice end as o_totalprice from orders where o_orderkey % 5 <> 0",
     "store_stats_grouping_sets": "select lang, source, count(*) as n, cast(grouping(lang, source) as integer) as level from documents group by grouping sets ((lang), (source))",
     "io_jsonl_roundtrip": "select * from nation",
     "io_csv_roundtrip": "select qid, category, expect_kind from golden_set where qid is not null and trim(qid, ' ') <> ''",

@@ -16,6 +16,41 @@ def test_nodes_of_a_page():
     assert [n["node_order"] for n in N.html_nodes(PAGE)] == list(range(9))
 
 
+HEADER = """<header><div class="abc_pills_container"><a href="#"><span>ELSS - 3Y Lock-in</span></a><a><span>Blue chip</span></a></div><p>Log in</p></header>"""
+
+
+def test_badges_of_a_page():
+    page = HEADER + """<div><span>Exit Load nil</span><div class="v">Benchmark: Merid 100 (Total Ret...<div class="big-tooltip"><span>Benchmark: Merid 100 (Total Return)</span></div></div>
+    <span title="Minimum amount is 500 rupees">Minimum amount…</span><span title="other">NAV cut…</span><p>NAV</p><span>exit load NIL</span></div><footer><span>NAV of old</span></footer>"""
+    assert N.page_badges(page) == [
+        ("ELSS - 3Y Lock-in", "pill"), ("Exit Load nil", "badge"), ("Benchmark: Merid 100 (Total Return)", "badge"), ("Minimum amount is 500 rupees", "badge"), ("NAV cut…", "badge"), ("NAV", "badge"),
+    ]
+    assert N.page_badges("") == [] and N.page_badges(None) == [] and N.page_badges("<p>" + "NAV " * 50) == []
+
+
+def test_a_wrapper_with_a_grid_of_facts_is_kept():
+    grid = "<table><tr><td>TER<td>1%</tr><tr><td>Exit Load<td>nil</tr><tr><td>AUM<td>5 cr</tr></table>"
+    texts = lambda html: [n["text"] for n in N.html_nodes(html)]
+    assert texts(f"<aside>{grid}<p>Inside</p></aside><p>After</p>") == ["TER: 1%", "Exit Load: nil", "AUM: 5 cr", "Inside", "After"]
+    assert texts("<aside><table><tr><td>TER<td>1%</tr></table><p>Inside</p></aside><p>After</p>") == ["After"]
+
+
+def test_merge_of_small_neighbours_of_one_subject(spark):
+    rows = spark.createDataFrame([(1, 0, "exit load of the plan"), (1, 1, "the exit load is nil"), (1, 2, "bank branch opens at noon"), (1, 3, None), (2, 0, "nav " * 60), (2, 1, "nav")], "p int, o int, t string")
+    got = sorted((r.p, r.first_order, r.pieces) for r in C.merged_if_alike(rows, "p", "o", "t").collect())
+    assert got == [(1, 0, 2), (1, 2, 1), (2, 0, 1), (2, 1, 1)]
+    many = spark.createDataFrame([(1, i, "exit load nil today") for i in range(100)], "p int, o int, t string")
+    assert [r.pieces for r in C.merged_if_alike(many, "p", "o", "t", most=50).orderBy("first_order").collect()] == [10] * 10
+
+
+def test_rebuild_deletes_orphans(spark):
+    from tarn.operators import vectors as V
+
+    store = spark.createDataFrame([(1, "a", 1), (2, "b", 5), (3, "old", 1)], "k int, v string, n int")
+    current = spark.createDataFrame([(1, "c", 2), (2, "late", 4), (4, "new", 1), (None, "x", 1)], "k int, v string, n int")
+    assert sorted((r.k, r.v) for r in V.rebuilt(store, current, ["k"], "n").collect()) == [(1, "c"), (2, "b"), (4, "new")]
+
+
 def test_pages_without_nodes(spark):
     rows = spark.createDataFrame([(1, None), (2, ""), (3, "<p>x"), (4, "<script>{"), (5, "<p>" + "word " * 50_000)], "i int, h string")
     got = {r.i: r.nodes for r in N.nodes_of_html(rows, "i", "h").collect()}

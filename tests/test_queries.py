@@ -103,6 +103,29 @@ def test_diversified_answers_come_from_the_pools(spark, data):
     assert all(sorted(x) == list(range(1, len(x) + 1)) and len(x) <= 5 for x in hybrid.values())
 
 
+def test_told_facts_have_their_units(spark, data):
+    cells = {(r.page_id, r.fact_key): r.typed_value for r in rows(spark, data, "p1_found")}
+    kinds = dict(texts(data, "select fact_key, min(value_kind) from fact_labels group by fact_key"))
+    told = {(r.page_id, r.fact_key): (r.label, r.told) for r in rows(spark, data, "friendly_fact")}
+    assert set(told) == set(cells)
+    for key, (label, text) in told.items():
+        value, kind = cells[key], kinds[key[1]]
+        unit = {"percent": "{}%", "price": "₹{}", "rupees": "₹{}", "crore": "₹{} crore", "months": "{} months", "stars": "{} stars"}.get(kind, "{}")
+        assert text == unit.format(value) or (value == "1" and text in ("1 month", "1 star"))
+        assert label.lower().replace(" ", "_") == key[1].lower() and label[0].isupper()
+
+
+def test_every_asked_question_has_one_outcome(spark, data):
+    got = rows(spark, data, "ask_flow")
+    asked = {q for (q,) in texts(data, "select distinct qid from golden_set where qid is not null and question is not null and cast(substr(qid, 2) as bigint) % 100 = 0")}
+    assert {r.qid for r in got} == asked and len(got) == len(asked)
+    picked = {(f"G{r.q}", r.id) for r in rows(spark, data, "hybrid_retrieve")}
+    for r in got:
+        assert (r.kind == "answer") == (r.id is not None) == (r.answer is not None)
+        assert r.id is None or (f"G{int(r.qid[1:])}", r.id) in picked
+        assert r.kind in ("answer", "out_of_corpus") or r.kind.startswith("refused_")
+
+
 def test_every_query_without_sql_is_tested_by_name():
     here = open(__file__).read()
     assert [n for n in set(QUERIES) - set(ORACLES) if f'"{n}"' not in here] == []
