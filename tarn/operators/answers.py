@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarn.functions import text as X
+from tarn.session import kept
 
 
 def name_variants(names: DataFrame, key: str, name: str) -> DataFrame:
@@ -30,9 +31,25 @@ def longest_entities(texts: DataFrame, ident: str, text: str, variants: DataFram
 
 
 def remembered(messages: DataFrame, conversation: str, order: list[str], entity: str, reach: int = 10) -> DataFrame:
-    """messages with `context`: the own entity, else the last one within the `reach` messages before."""
-    before = Window.partitionBy(conversation).orderBy(*order).rowsBetween(-reach, -1)
-    return messages.withColumn("context", F.coalesce(F.col(entity), F.last(entity, ignorenulls=True).over(before)))
+    """messages with `context`: the own entity, else the last one within the `reach` messages before.
+
+    Messages are range-partitioned by conversation and order, so a conversation of any length is spread over tasks;
+    what a task needs of those before it is the last `reach` entities of each, a small table.
+    """
+    spark = messages.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = kept(messages.repartitionByRange(tasks, conversation, *order).withColumn("_part", F.spark_partition_id()))
+    inside = Window.partitionBy(conversation, "_part").orderBy(*order)
+    back = Window.partitionBy(conversation, "_part").orderBy(*[F.col(c).desc_nulls_last() for c in order])
+    tails = rows.withColumn("_b", F.row_number().over(back)).where(F.col("_b") <= reach).groupBy(conversation, "_part").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("_b")).alias("n"), F.col(entity).alias("e")))), lambda x: x["e"]).alias("_tail"))
+    earlier = Window.partitionBy(conversation).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    halo = tails.withColumn("_halo", F.flatten(F.collect_list("_tail").over(earlier))).select(F.col(conversation).alias("_c"), F.col("_part").alias("_p"), "_halo")
+    numbered = rows.withColumn("_n", F.row_number().over(inside)).withColumn("_near", F.last(entity, ignorenulls=True).over(inside.rowsBetween(-reach, -1)))
+    joined = numbered.join(halo, numbered[conversation].eqNullSafe(halo["_c"]) & (numbered["_part"] == halo["_p"]), "left")
+    open_places = F.greatest(F.lit(0), reach + 1 - F.col("_n"))
+    seen = F.filter(F.slice("_halo", F.greatest(F.lit(1), F.size("_halo") - open_places + 1), open_places), lambda e: e.isNotNull())
+    far = F.when((open_places > 0) & (F.size("_halo") > 0), F.try_element_at(seen, F.lit(-1)))
+    return joined.withColumn("context", F.coalesce(F.col(entity), F.col("_near"), far)).select(*messages.columns, "context")
 
 
 def missing_numbers(asked: DataFrame, texts: DataFrame, key: str, question: str, text: str) -> DataFrame:

@@ -28,6 +28,19 @@ def test_badges_of_a_page():
     assert N.page_badges("") == [] and N.page_badges(None) == [] and N.page_badges("<p>" + "NAV " * 50) == []
 
 
+def test_memory_reaches_over_the_parts_of_a_long_conversation(spark):
+    import random
+
+    r = random.Random(1)
+    turns = [(c, i, f"e{i}" if r.random() < 0.15 else None, "x") for c in ("long", None, "short") for i in range(900 if c == "long" else 40)]
+    r.shuffle(turns)
+    df = spark.createDataFrame(turns, "c string, turn int, entity string, _n string")
+    got = {(x.c, x.turn): x.context for x in A.remembered(df.drop("_n"), "c", ["turn"], "entity", reach=10).collect()}
+    entity = {(c, i): e for c, i, e, _ in turns}
+    want = {(c, i): e or next((entity[c, j] for j in range(i - 1, max(-1, i - 11), -1) if entity[c, j]), None) for (c, i), e in entity.items()}
+    assert got == want
+
+
 def test_a_wrapper_with_a_grid_of_facts_is_kept():
     grid = "<table><tr><td>TER<td>1%</tr><tr><td>Exit Load<td>nil</tr><tr><td>AUM<td>5 cr</tr></table>"
     texts = lambda html: [n["text"] for n in N.html_nodes(html)]
