@@ -61,6 +61,10 @@ PROPOSALS = {
     ),
 }
 KIND_OF = {"email": "email", "phone": "phone", "pan": "id_number", "national": "id_number", "passport": "id_number", "licence": "id_number", "address": "address"}
+_SEVEN_DIGITS = re.compile(r"(?:\d[\s.()-]{0,2}){6}\d")
+_MAIL_SIGN = re.compile(r"@|[\[(\s]at[\])\s]|[\[(]\s?at\s?[\])]")
+_STREET_WORD = re.compile(r"\s(?:street|road|lane|marg|nagar|colony|avenue|rd|st|ln|gali|chowk|path|circle|layout)\b")
+_PAN_END = re.compile(r"\d{4}[\s-]?[A-Za-z]")
 _DIGIT_AT = re.compile(r"[\d@]|\bat\b|\[at|\(at", re.I)
 
 # Words that open or follow the kinds of places in an address.
@@ -76,19 +80,19 @@ CLOSING = frozenset("fund funds plan trust scheme index composite bank ltd limit
 
 
 def tokenised(text: str) -> tuple[list[str], list[int], list[int]]:
-    words, starts, ends = [], [], []
-    for m in TOKEN.finditer(text):
-        words.append(m.group())
-        starts.append(m.start())
-        ends.append(m.end())
-    return words, starts, ends
+    spans = [m.span() for m in TOKEN.finditer(text)]
+    return [text[a:b] for a, b in spans], [a for a, _ in spans], [b for _, b in spans]
 
 
 def proposals(text: str) -> list[tuple[int, int, str]]:
     """(start, end, pattern) of every proposal."""
     if not _DIGIT_AT.search(text):
         return []
-    return [(m.start(), m.end(), name) for name, p in PROPOSALS.items() for m in p.finditer(text)]
+    low = text.lower()
+    # what each pattern needs at least: seven digits in a row but for separators, a mail sign, a street's word
+    needs = {"email": bool(_MAIL_SIGN.search(low)), "address": bool(_STREET_WORD.search(low)), "pan": bool(_PAN_END.search(text))}
+    digits = bool(_SEVEN_DIGITS.search(text))
+    return [(m.start(), m.end(), name) for name, p in PROPOSALS.items() if needs.get(name, digits) for m in p.finditer(text)]
 
 
 # ---- invented training texts -------------------------------------------------------------------------------------
@@ -659,16 +663,25 @@ class Field:
             self.stacked = None
         return at
 
-    def unary(self, ids: np.ndarray, flags: np.ndarray) -> np.ndarray:
-        """Scores of one text's tokens."""
+    def unaries(self, ids: list[np.ndarray], flags: list[np.ndarray]) -> list[np.ndarray]:
+        """Scores of several texts' tokens, the texts laid end to end with a gap of REACH empty tokens between them."""
         if self.stacked is None:
             self.stacked = np.stack(self.tables)
-        n = len(ids)
-        padded = np.concatenate([np.zeros(REACH, np.int64), ids, np.zeros(REACH, np.int64)])
-        score = self.model["bias"] + flags @ self.model["flag"]
+        gap = np.zeros(REACH, np.int64)
+        row = np.concatenate([x for own in ids for x in (gap, own)] + [gap])
+        n = len(row) - 2 * REACH
+        score = np.tile(self.model["bias"], (n, 1))
         for o in range(2 * REACH + 1):
-            score = score + self.stacked[padded[o : o + n], o]
-        return score
+            score += self.stacked[row[o : o + n], o]
+        out, at = [], 0
+        for own, flag in zip(ids, flags):
+            part = score[at : at + len(own)]
+            busy = flag.any(1)
+            if busy.any():
+                part[busy] += flag[busy] @ self.model["flag"]
+            out.append(part)
+            at += len(own) + REACH
+        return out
 
     def decode(self, scores: list[np.ndarray]) -> list[np.ndarray]:
         """Best states of several texts: one Viterbi over all of them, the longest first."""
@@ -732,16 +745,15 @@ class Field:
         """(start, end, kind) of the personal items of each text, in order."""
         if len(self.forms) > REMEMBERED:
             self.reset()
-        parts, scores = [], []
-        ready = []
+        scores, ready = [], []
         for k, text in enumerate(texts):
             tokens, starts, ends = tokenised(text) if text else ([], [], [])
             if tokens:
                 ids = np.array([self.number(w) for w in tokens], np.int64)
                 ready.append((k, text, tokens, starts, ends, ids))
-        for k, text, tokens, starts, ends, ids in ready:
-            scores.append(self.unary(ids, flag_columns(text, starts, ends)))
-            parts.append((k, text, tokens, starts, ends))
+        if ready:
+            scores = self.unaries([x[5] for x in ready], [flag_columns(text, starts, ends) for _, text, _, starts, ends, _ in ready])
+        parts = [x[:5] for x in ready]
         states = self.decode(scores) if scores else []
         if SKIP_WEIGHT:
             again = []
