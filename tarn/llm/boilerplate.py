@@ -406,9 +406,15 @@ def verdicts(page_nodes: DataFrame, fetch_log: DataFrame, *, shard_chars: int =
     return whole.unionByName(rows.groupBy("site", "shard").cogroup(totals.join(split, "site").groupBy("site", "shard")).applyInArrow(judge, _OUT))
 
 
-def _triples(words: str = "words"):
-    w = F.split(words, " ")
-    return F.array_distinct(F.when(F.size(w) > 2, F.transform(F.sequence(F.lit(1), F.size(w) - 2), lambda i: F.xxhash64(F.concat_ws(" ", F.slice(w, i, 3))))).otherwise(F.array().cast("array<bigint>")))
+def _triples(df: DataFrame, *columns: str) -> DataFrame:
+    """df's columns and `g`, the distinct triples of its `words` as numbers; words and triples are hashed once each.
+
+    Take the triples out with explode_outer: for explode the planner puts a filter on the array below these steps,
+    and there it would hash all words anew for every triple.
+    """
+    hashed = df.select(*columns, F.transform(F.split("words", " "), lambda w: F.xxhash64(w)).alias("_h"))
+    triple = lambda i: F.xxhash64(F.get("_h", i), F.get("_h", i + 1), F.get("_h", i + 2))
+    return hashed.select(*columns, F.array_distinct(F.when(F.size("_h") > 2, F.transform(F.sequence(F.lit(0), F.size("_h") - 3), triple)).otherwise(F.array().cast("array<bigint>"))).alias("g"))
 
 
 def boilerplate_nodes(page_nodes: DataFrame, fetch_log: DataFrame, *, shard_chars: int = SHARD_CHARS) -> DataFrame:
@@ -423,14 +429,14 @@ def boilerplate_nodes(page_nodes: DataFrame, fetch_log: DataFrame, *, shard_char
     tasks = int(seen.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = seen.where("trains is not null and words is not null").repartition(tasks, "key").groupBy("key").agg(F.max("trains").alias("trains"), F.min("words").alias("words"))
     texts = kept(texts.select("trains", "words"))
-    triples = lambda kind: texts.where(F.col("trains") == kind).select(F.explode(_triples()).alias("g"))
+    triples = lambda kind: _triples(texts.where(F.col("trains") == kind), "trains").select(F.explode_outer("g").alias("g"))
     total = {r.trains: r.n for r in texts.groupBy("trains").agg(F.count("*").alias("n")).collect()}
     least = max(2, BANK * total.get(1, 0))
     template = triples(1).groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     own = triples(0).join(F.broadcast(template.select("g")), "g").groupBy("g").agg(F.count("*").alias("m"))
     bank = template.join(own, "g", "left").where(F.col("n") * (total.get(0, 0) + 1) > F.coalesce("m", F.lit(0)) * (total.get(1, 0) + 1)).select("g")
-    open_prose = seen.where(F.col("verdict") == PROSE).select("key", "words").repartition(tasks, "key").groupBy("key").agg(F.min("words").alias("words")).select("key", _triples().alias("_g"))
-    known = open_prose.select("key", F.size("_g").alias("size"), F.explode("_g").alias("g")).join(F.broadcast(bank), "g").groupBy("key").agg(F.count("*").alias("n"), F.first("size").alias("size"))
+    open_prose = seen.where(F.col("verdict") == PROSE).select("key", "words").repartition(tasks, "key").groupBy("key").agg(F.min("words").alias("words"))
+    known = _triples(open_prose, "key").select("key", F.size("g").alias("size"), F.explode_outer("g").alias("g")).join(F.broadcast(bank), "g").groupBy("key").agg(F.count("*").alias("n"), F.first("size").alias("size"))
     like_template = known.where(F.col("n") >= COVERED * F.col("size")).select("key")
     by_words = seen.where(F.col("verdict") == PROSE).join(like_template, "key").select("node_id")
     # entries, and prose that the words do not tell, by all their occurrences
