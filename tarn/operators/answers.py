@@ -24,7 +24,7 @@ def longest_entities(texts: DataFrame, ident: str, text: str, variants: DataFram
     """
     rows = texts.where(F.col(ident).isNotNull() & F.col(text).isNotNull()).select(F.col(ident), X.terms(F.col(text)).alias("w")).where(F.size("w") >= 2)
     pairs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.concat_ws(" ", F.element_at("w", i), F.element_at("w", i + 1))))
-    seen = rows.select(ident, F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" ")).alias("t"), F.explode(pairs).alias("pair"))
+    seen = rows.select(ident, F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" ")).alias("t"), F.explode_outer(pairs).alias("pair"))  # outer: no inferred filter that would build the pairs twice
     keyed = variants.withColumn("pair", F.array_join(F.slice(F.split("variant", " "), 1, 2), " "))
     hits = seen.join(keyed, "pair").where(F.contains("t", F.concat(F.lit(" "), F.col("variant"), F.lit(" "))))
     return hits.groupBy(ident, "key").agg(F.max(F.struct(F.length("variant").alias("n"), F.col("variant").alias("v"))).alias("b")).select(ident, "key", F.col("b.v").alias("variant"))
