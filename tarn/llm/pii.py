@@ -873,9 +873,9 @@ def with_spans(df: DataFrame, text: str, *, out: str = "pii", words: str = VOCAB
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, SPANS)]))
 
 
-def masked(df: DataFrame, text: str, *, out: str = "masked") -> DataFrame:
+def masked(df: DataFrame, text: str, *, out: str = "masked", words: str = VOCABULARY) -> DataFrame:
     """df with `out`: the text with every personal item replaced by [KIND]; all else is unchanged. Null stays null."""
-    found = with_spans(df, text, out="_pii")
+    found = with_spans(df, text, out="_pii", words=words)
     parts = F.transform("_pii", lambda s, i: F.concat(F.substring(F.col(text), F.when(i == 0, 0).otherwise(F.try_element_at(F.col("_pii"), i)["char_end"]) + 1, s["char_start"] - F.when(i == 0, 0).otherwise(F.try_element_at(F.col("_pii"), i)["char_end"])), F.lit("["), F.upper(s["kind"]), F.lit("]")))
     tail = F.substring(F.col(text), F.coalesce(F.try_element_at("_pii", F.lit(-1))["char_end"], F.lit(0)) + 1, F.length(text))
     return found.withColumn(out, F.concat(F.array_join(parts, ""), tail)).drop("_pii")
@@ -888,9 +888,9 @@ def records(golden_set: DataFrame, corpus_docs: DataFrame) -> DataFrame:
     return questions.unionByName(nodes).where("rec_id is not null and text is not null and trim(text) <> ''").distinct()
 
 
-def found(golden_set: DataFrame, corpus_docs: DataFrame) -> DataFrame:
+def found(golden_set: DataFrame, corpus_docs: DataFrame, *, words: str = VOCABULARY) -> DataFrame:
     """(src, rec_id, node_order, kind, char_start, char_end) of each personal item."""
-    spans = with_spans(records(golden_set, corpus_docs), "text")
+    spans = with_spans(records(golden_set, corpus_docs), "text", words=words)
     return spans.select("src", "rec_id", "node_order", F.explode("pii").alias("p")).select("src", "rec_id", "node_order", "p.kind", "p.char_start", "p.char_end").distinct()
 
 

@@ -10,6 +10,11 @@ from tarn.llm import boilerplate, bpe, leakage, neighbours, pii, spam, splitting
 from tarn.session import checkpoint_dir, table
 
 
+def _vocabulary(spark):
+    """The public vocabulary file: the setting spark.tarn.vocabulary, else where such files lie by default."""
+    return spark.conf.get("spark.tarn.vocabulary", bpe.VOCABULARY)
+
+
 def p2_found(spark, d):
     """The nodes that are not main body."""
     return boilerplate.boilerplate_nodes(table(spark, d, "page_nodes"), table(spark, d, "fetch_log"))
@@ -22,12 +27,12 @@ def p2_main(spark, d):
 
 def p3_found(spark, d):
     """Each personal item in the questions and node texts."""
-    return pii.found(table(spark, d, "golden_set"), table(spark, d, "corpus_docs"))
+    return pii.found(table(spark, d, "golden_set"), table(spark, d, "corpus_docs"), words=_vocabulary(spark))
 
 
 def p3_masked(spark, d):
     """The questions and node texts with each personal item replaced by a placeholder of its kind."""
-    return pii.masked(pii.records(table(spark, d, "golden_set"), table(spark, d, "corpus_docs")), "text")
+    return pii.masked(pii.records(table(spark, d, "golden_set"), table(spark, d, "corpus_docs")), "text", words=_vocabulary(spark))
 
 
 def p4_found(spark, d):
@@ -63,7 +68,7 @@ def p5_files(spark, d):
 
 def p6_ids(spark, d):
     """doc_id and token ids of every document."""
-    return bpe.document_ids(table(spark, d, "documents"))
+    return bpe.document_ids(table(spark, d, "documents"), vocabulary=_vocabulary(spark))
 
 
 def p7_found(spark, d):
