@@ -44,23 +44,53 @@ def matches_within(tokens: int) -> int:
     return n
 
 
+#: Texts from this length on are tokenised by arrays; shorter ones are faster by the pattern.
+BY_ARRAYS = 1_500
+_SPACES = np.array([chr(c).isspace() for c in range(0x3001)])
+_SENTENCE, _CLAUSE, _CLOSING = (np.array([ord(c) for c in chars], np.uint32) for chars in (".!?।॥", ",;:—–", "\"')]”’»"))
+
+
+def codes_of(text: str) -> np.ndarray:
+    """The code points of a text."""
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def spans_by_arrays(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends) of the token matches: what TOKEN matches, by comparing arrays."""
+    word = ((codes >= 48) & (codes <= 57)) | ((codes >= 65) & (codes <= 90)) | ((codes >= 97) & (codes <= 122))
+    sign = ~word
+    low = codes < len(_SPACES)
+    sign[low] &= ~_SPACES[codes[low]]
+    first, last = word.copy(), word.copy()
+    first[1:] &= ~word[:-1]
+    last[:-1] &= ~word[1:]
+    return np.flatnonzero(first | sign), np.flatnonzero(last | sign) + 1
+
+
+def token_spans(text: str, stop: int) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends) of the token matches in text[:stop]."""
+    if stop < BY_ARRAYS:
+        spans = [m.span() for m in TOKEN.finditer(text, 0, stop)]
+        both = np.array(spans, np.int64).reshape(-1, 2)
+        return both[:, 0], both[:, 1]
+    return spans_by_arrays(codes_of(text[:stop]))
+
+
 def boundaries(text: str, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """The strength of the gap before each token."""
+    """The strength of the gap before each token: by what ends before it and by the line ends in it."""
     strength = np.full(len(starts), HARD, np.int8)
-    for k in range(1, len(starts)):
-        gap = text[ends[k - 1] : starts[k]]
-        if not gap:
-            continue
-        lines = gap.count("\n")
-        if lines > 1:
-            strength[k] = PARAGRAPH
-        elif lines:
-            strength[k] = LINE
-        else:
-            before = text[ends[k - 1] - 1]
-            if before in "\"')]”’»" and k > 1:
-                before = text[ends[k - 2] - 1]
-            strength[k] = SENTENCE if before in ".!?।॥" else CLAUSE if before in ",;:—–" else BLANK
+    if len(starts) < 2:
+        return strength
+    begin = int(starts[0])
+    codes = codes_of(text[begin : int(ends[-1])])
+    wide = starts[1:] > ends[:-1]
+    lines = np.searchsorted(np.flatnonzero(codes == 10) + begin, np.stack([ends[:-1], starts[1:]]))
+    lines = lines[1] - lines[0]
+    before = codes[ends[:-1] - 1 - begin]
+    behind = np.r_[before[:1], before[:-1]]  # what stands before a closing sign
+    before = np.where(np.isin(before, _CLOSING) & (np.arange(1, len(starts)) > 1), behind, before)
+    inline = np.where(np.isin(before, _SENTENCE), SENTENCE, np.where(np.isin(before, _CLAUSE), CLAUSE, BLANK))
+    strength[1:] = np.where(~wide, HARD, np.where(lines > 1, PARAGRAPH, np.where(lines == 1, LINE, inline)))
     return strength
 
 
@@ -89,16 +119,16 @@ def cut(strength: np.ndarray, limit: int, overlap: int) -> list[tuple[int, int]]
 
 def pieces_of(text: str, begin: int, stop: int, limit: int, overlap: int) -> Iterator[tuple[int, int, int]]:
     """(char_start, char_end, matches) of the pieces of text[begin:stop]; what lies before begin may be repeated by the first."""
-    starts, ends = [], []
-    for m in TOKEN.finditer(text, 0, stop):
-        starts.append(m.start())
-        ends.append(m.end())
+    starts, ends = token_spans(text, stop)
     own = int(np.searchsorted(starts, begin))
     back = max(0, own - overlap) if begin else own
-    starts, ends = np.array(starts[back:], np.int64), np.array(ends[back:], np.int64)
+    starts, ends = starts[back:], ends[back:]
     if not len(starts):
         yield begin, stop, 0
         return
+    if own == back and len(starts) <= limit:
+        yield begin, stop, len(starts)
+        return
     strength = boundaries(text, starts, ends)
     if own > back:
         inside = np.flatnonzero(strength[: own - back] >= BLANK)
@@ -127,7 +157,7 @@ def anchor_of(text: str, at: int, halo: int) -> int:
 
 def matches_between(text: str, begin: int, stop: int) -> int:
     """The token matches that start in text[begin:stop]; a run that began before counts there."""
-    return sum(m.start() >= begin for m in TOKEN.finditer(text, 0, stop))
+    return int((token_spans(text, stop)[0] >= begin).sum())
 
 
 def _stitch(anchors: DataFrame, keys: list[str]) -> DataFrame:

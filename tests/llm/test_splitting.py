@@ -34,6 +34,26 @@ def test_pieces_of_one_text(text):
     check(text, [(a, b, max(1, int(n * 1.3)), text[a:b]) for a, b, n in S.pieces_of(text, 0, len(text), most, again)], 20, 5)
 
 
+def slow_boundaries(text, starts, ends):
+    out = [S.HARD]
+    for k in range(1, len(starts)):
+        gap = text[ends[k - 1] : starts[k]]
+        before = text[ends[k - 1] - 1]
+        if before in "\"')]”’»" and k > 1:
+            before = text[ends[k - 2] - 1]
+        out.append(S.HARD if not gap else S.PARAGRAPH if gap.count("\n") > 1 else S.LINE if "\n" in gap else S.SENTENCE if before in ".!?।॥" else S.CLAUSE if before in ",;:—–" else S.BLANK)
+    return out
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="ab1. \n,!é-\"')\x1c\x85\u3000नी\U0001f600\ud800", max_size=300))
+def test_arrays_equal_the_pattern(text):
+    want = [m.span() for m in S.TOKEN.finditer(text)]
+    starts, ends = S.spans_by_arrays(S.codes_of(text))
+    assert list(zip(starts.tolist(), ends.tolist())) == want
+    assert S.boundaries(text, starts, ends).tolist() == (slow_boundaries(text, starts, ends) if want else [])
+
+
 TEXTS = {"a": "word " * 2_000, "b": "One two three four. " * 400 + "\n\n" + "Next part here; " * 300, "c": "short", "d": "", "e": "x" * 9_000, "f": ".," * 900, "g": "é　ü " * 800, "h": "   "}
 
 
