@@ -130,7 +130,7 @@ FIGURE_BOOST = 0.004
 
 def question_vectors(lexical: DataFrame, entries: DataFrame) -> DataFrame:
     """(q, v): the mean direction of the FEEDBACK best entries by terms, which stands for a question without an encoder."""
-    best = lexical.where(F.col("rank") <= FEEDBACK).join(entries.select("id", V.normalised(F.col("v")).alias("v")), "id")
+    best = lexical.where(F.col("rank") <= FEEDBACK).join(entries.select("id", "v"), "id").select("q", "rank", V.normalised(F.col("v")).alias("v"))
     listed = best.groupBy("q").agg(F.array_sort(F.collect_list(F.struct("rank", "v"))).alias("x"))  # FEEDBACK at most
     total = F.aggregate(F.slice("x", 2, FEEDBACK), F.col("x")[0]["v"], lambda s, e: F.zip_with(s, e["v"], lambda a, b: a + b))
     return listed.select("q", total.alias("v"))

@@ -31,8 +31,9 @@ def cosine(a: Column, b: Column) -> Column:
 
 def normalised(v: Column) -> Column:
     """The vector over its norm; an all-zero vector stays."""
-    size = norm(v)
-    return F.transform(v, lambda x: F.when(size == 0, x.cast("double")).otherwise(x.cast("double") / size))
+    # the norm is bound as a variable, so it is computed once for a vector and not once for a component
+    over = lambda size: F.transform(v, lambda x: F.when(size == 0, x.cast("double")).otherwise(x.cast("double") / size))
+    return F.get(F.transform(F.array(norm(v)), over), F.lit(0))
 
 
 def is_valid(v: Column, dimension: int) -> Column:
