@@ -1,4 +1,5 @@
 import datetime as dt
+import uuid
 
 from tarn.sources import tables as IO
 from tarn.streaming import feeds
@@ -28,9 +29,10 @@ def test_csv_leaves_out_blank_keys(spark, tmp_path):
 def test_upsert_stream(spark, tmp_path):
     schema = "k long, v string, n int"
     (tmp_path / "in").mkdir()
+    name = f"t-{uuid.uuid4().hex}"  # checkpoints outlive a test run where the session names a folder for them
     for i, rows in enumerate(([(1, "a", 1), (2, "b", 1)], [(1, "c", 2), (2, "old", 0), (3, "d", 1)])):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-        feeds.upsert_stream(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/out", "k", "n", f"t-{tmp_path.name}").awaitTermination()
+        feeds.upsert_stream(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/out", "k", "n", name).awaitTermination()
     assert sorted((r.k, r.v) for r in spark.read.parquet(f"{tmp_path}/out/v1").collect()) == [(1, "c"), (2, "b"), (3, "d")]
 
 
