@@ -66,6 +66,18 @@ def kept(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Removes a folder of the shared folder that is read no more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def dropped(table: DataFrame) -> None:
+    """Removes a table made by kept() that is read no more."""
+    for folder in {file.rsplit("/", 1)[0] for file in table.inputFiles()}:
+        removed(table.sparkSession, folder)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Makes this package importable in the Python workers of every executor (once for a session)."""
     context = spark.sparkContext

@@ -1,3 +1,6 @@
+import os
+import time
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -134,3 +137,33 @@ def test_recall_near_the_threshold(spark, monkeypatch, group):
     want = truth(x)
     got = {(q.vec_a, q.vec_b) for q in N.similar_pairs(big_frame(spark, x)).collect()}
     assert len(want) > 2_000 and len(got & want) >= 0.985 * len(want) and len(got - want) <= 0.002 * len(want)  # components are fixed-point
+
+
+def sent(spark):
+    """Bytes of shuffles written so far."""
+    executors = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+    return sum(executors.apply(i).totalShuffleWrite() for i in range(executors.size()))
+
+
+def test_split_tables_are_not_copied_to_the_groups_in_reach(spark, monkeypatch):
+    """With 32 groups a row is compared with many of them; what is shuffled stays below the vectors' own size."""
+    monkeypatch.setattr(N, "GROUP_ROWS", 125)
+    x = clusters(500, 8)
+    folders = []
+    if hasattr(N, "removed"):
+        monkeypatch.setattr(N, "removed", lambda s, path, remove=N.removed: (folders.append(path), remove(s, path)))
+    before = sent(spark)
+    got = {(r.vec_a, r.vec_b) for r in N.similar_pairs(big_frame(spark, x)).collect()}
+    time.sleep(1)
+    want = truth(x)
+    assert len(got & want) >= 0.99 * len(want) and len(got - want) <= 0.002 * len(want)
+    assert sent(spark) - before < 4 * x.nbytes  # the frame's own repartition, the found pairs
+    assert len(folders) == N.layout(len(x))[1] and not any(os.path.exists(f.removeprefix("file:")) for f in folders)
+
+
+def test_uneven_groups(spark, monkeypatch):
+    """A group of many times the rows that a task holds is split, and no pair of its parts is lost."""
+    monkeypatch.setattr(N, "GROUP_ROWS", 100)
+    x = np.concatenate([clusters(1, 600, spread=0.2), clusters(60, 8, seed=5)])
+    found = N.neighbours(big_frame(spark, x), least=0.8)
+    assert recall(found, x, np.arange(len(x) - 480)) >= 0.98
